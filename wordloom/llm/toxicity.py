@@ -63,6 +63,8 @@ class Ordinal:
         self.weights, self.thresholds = weights, np.array(thresholds, float)
         lengths = {w.index("*") for w in weights if "*" in w}
         self.prefixes = tuple(n for n in PREFIXES if n in lengths)
+        self.head = min(self.prefixes, default=1)
+        self.heads = {w[: self.head] for w in weights if "*" in w}
 
     @classmethod
     def fit(cls, rows: list[list[int]], grades: np.ndarray, names: list[str], penalty: float = PENALTY, rounds: int = ROUNDS) -> Ordinal:
@@ -113,7 +115,12 @@ class Ordinal:
         return [[number[f] for f in r if f in number] for r in rows], [names[f] for f in kept]
 
     def score(self, text: str) -> float:
-        return sum(self.weights[x] for x in sorted(features(text, self.prefixes) & self.weights.keys()))
+        """The sum of the weights of the text's features. Only words whose first letters begin a known beginning are looked at further."""
+        words, heads = set(WORD.findall(text.lower())), self.heads
+        found = self.weights.keys() & words
+        if some := [w for w in words if w[: self.head] in heads]:
+            found |= self.weights.keys() & features(" ".join(some), self.prefixes)
+        return sum(self.weights[x] for x in sorted(found))
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > j), a column for each threshold."""
