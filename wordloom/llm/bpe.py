@@ -357,7 +357,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lex
         spec = f.read()
     shared = spark.sparkContext.broadcast((spec, lexicon if lexicon is not None else compile_lexicon(docs, path, text=text)))
     key = hashlib.sha256(shared.value[0].encode() + shared.value[1]).hexdigest()
-    more = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [(ids, T.ArrayType(T.LongType())), *([(decoded, T.StringType())] if decoded else [])]
+    more = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.StringType())] if decoded else [])]
     if clash := {c.lower() for c in docs.columns} & {name.lower() for name, _ in more}:
         raise ValueError(f"the documents already have {sorted(clash)}")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(*m) for m in more)])
@@ -373,7 +373,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lex
             if digests:
                 new = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()), pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in coded], pa.string())]
             else:
-                new = [pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in coded], pa.list_(pa.int64()))] + ([pa.array([encoder.decode(x) for x in coded], pa.string())] if decoded else [])
+                new = [pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))] + ([pa.array([encoder.decode(x) for x in coded], pa.string())] if decoded else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=schema.names)
 
     return docs.select(*map(col, keep), whole_text(text).alias(held)).mapInArrow(run, schema)

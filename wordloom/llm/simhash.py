@@ -47,12 +47,25 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     return np.array([h(joined[a:b], seed) for a, b in zip(starts[: len(ends) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray, piece: int = 1 << 16) -> int:
-    """The 64 bits that are set in over half the hashes. Long texts are counted piece by piece."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), piece):
-        counts += np.unpackbits(hashes[at : at + piece].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For hashes of several words (n x W): the bits that are set in over half of them, W words.
+
+    Bits are counted in byte lanes, 255 hashes at a time, eight lanes to an addition.
+    """
+    n, width = hashes.shape
+    raw, counts = np.ascontiguousarray(hashes.astype(">u8")).view(np.uint8), np.zeros(64 * width, np.int64)
+    for at in range(0, n, 255):
+        counts += np.unpackbits(raw[at : at + 255], axis=1).view(np.uint64).sum(0).view(np.uint8)
+    return np.packbits(counts * 2 > n).view(">u8").astype(np.uint64)
+
+
+def mixed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Each hash made into ``width`` independent ones: its own bits stirred with a different odd number each."""
+    out = hashes[:, None] + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out ^= out >> np.uint64(shift)
+        out *= np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: int = 3, drop_text: bool = False) -> DataFrame:
@@ -62,7 +75,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: in
 
     def run(batches):
         for batch in batches:
-            fps = np.array([majority(shingle_hashes(t, words)) for t in batch.column(len(keep)).to_pylist()], np.uint64)
+            fps = np.array([majority(shingle_hashes(t, words)[:, None])[0] for t in batch.column(len(keep)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps.view(np.int64))], names=schema.names)
 
     return docs.select(*map(col, keep), whole_text(text).alias(fresh(docs, "whole"))).mapInArrow(run, schema)
@@ -113,69 +126,87 @@ class GrayIndex:
         for level, (a, b) in enumerate(spans):  # residual masks
             parent = np.repeat(np.arange(len(a)), b - a)
             self.mask[level] = agree[level] & ~agree[level + 1][parent]
+        self.root_of = np.searchsorted(groups[-1], self.group)
+        self.last = [np.arange(len(self.codes))]  # the last fingerprint under each node
+        for _, b in spans:
+            self.last.append(self.last[-1][b - 1])
+
+    def under(self, labels: np.ndarray) -> list[np.ndarray]:
+        """Of every node the label that all its members share, else -1."""
+        out = [labels]
+        for a, _ in self.spans:
+            low, high = np.minimum.reduceat(out[-1], a), np.maximum.reduceat(out[-1], a)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def pairs(self, radius: int, begin: int, end: int, labels: np.ndarray, tight: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j), begin <= i < end and i < j in ``order``, of pairs of one group within the radius.
+
+        With ``tight`` the top 16 bits of the first word may differ in no more than so many. A node all of whose
+        members have the label of the one who searches is left out: they are connected.
+        """
+        top, same = len(self.spans), self.under(labels)
+        q = np.arange(begin, end)
+        stack = [(top, q, self.root_of[q], np.zeros(len(q), np.int64), np.zeros(len(q), np.int64))]
+        while stack:
+            level, q, node, acc, lead = stack.pop()
+            if len(q) > FRONTIER:
+                half = len(q) // 2
+                stack += [(level, q[half:], node[half:], acc[half:], lead[half:]), (level, q[:half], node[:half], acc[:half], lead[:half])]
+                continue
+            open_ = (self.last[level][node] > q) & (same[level][node] != labels[q])  # each pair is met once, from its earlier end
+            q, node, acc, lead = q[open_], node[open_], acc[open_], lead[open_]
+            differ = (self.codes[q] ^ self.bits[level][node]) & self.mask[level][node]
+            if tight is not None:
+                lead = lead + np.bitwise_count(differ[:, 0] >> np.uint64(48))
+                near = lead <= tight
+                q, node, acc, lead, differ = q[near], node[near], acc[near], lead[near], differ[near]
+            acc = acc + np.bitwise_count(differ).sum(1, dtype=np.int64)
+            near = acc <= radius
+            q, node, acc, lead = q[near], node[near], acc[near], lead[near]
+            if not len(q):
+                continue
+            if level == 0:
+                yield q, node
+                continue
+            a, b = (x[node] for x in self.spans[level - 1])
+            size = b - a
+            child = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+            stack.append((level - 1, np.repeat(q, size), child, np.repeat(acc, size), np.repeat(lead, size)))
+
+
+def spanning_links(codes: np.ndarray, group: np.ndarray, lead: np.ndarray, radius: int, tight: int | None = None) -> np.ndarray:
+    """Links (n x 2) within the radius inside each group, as many as keep what is linked connected.
+
+    Searches go in rounds of growing size. After each the labels of what has been joined are brought up to date, so
+    a large group of near copies is met once and left out from then on, not paired with itself.
+    """
+    index = GrayIndex(codes, group, lead)
+    n = len(codes)
+    parent, out, begin, step = np.arange(n), [], 0, 64
 
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(i, j, differences), i < j in ``order``, of all pairs of one group within the radius."""
-        n, top = len(self.codes), len(self.spans)
-        root_of = np.searchsorted(self.groups[top], self.group)
-        last = [np.arange(n)]
-        for a, b in self.spans:  # the last fingerprint under each node
-            last.append(last[-1][b - 1])
-        chunk = max(1, FRONTIER // FANOUT)
-        for at in range(0, n, chunk):
-            q = np.arange(at, min(n, at + chunk))
-            stack = [(top, q, root_of[q], np.zeros(len(q), np.int64))]
-            while stack:
-                level, q, node, acc = stack.pop()
-                if len(q) > FRONTIER:
-                    half = len(q) // 2
-                    stack += [(level, q[half:], node[half:], acc[half:]), (level, q[:half], node[:half], acc[:half])]
-                    continue
-                later = last[level][node] > q  # each pair is met once, from its earlier end
-                q, node, acc = q[later], node[later], acc[later]
-                acc = acc + np.bitwise_count((self.codes[q] ^ self.bits[level][node]) & self.mask[level][node]).sum(1, dtype=np.int64)
-                near = acc <= radius
-                q, node, acc = q[near], node[near], acc[near]
-                if not len(q):
-                    continue
-                if level == 0:
-                    yield q, node, acc
-                    continue
-                a, b = (x[node] for x in self.spans[level - 1])
-                size = b - a
-                child = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-                stack.append((level - 1, np.repeat(q, size), child, np.repeat(acc, size)))
-
-
-class Forest:
-    """Union-find over places, to send on only the links that join something new in a shard."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        parent = self.parent
+    def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = parent[parent[x]]
-            x = parent[x]
+            x = int(parent[x])
         return x
 
-    def joins(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = self.root(a), self.root(b)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                out.append((a, b))
-        return out
-
-
-def spanning_links(codes: np.ndarray, group: np.ndarray, lead: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links within the radius inside each group, as many as keep what is linked connected."""
-    index, forest, out = GrayIndex(codes, group, lead), Forest(len(codes)), []
-    for i, j, _ in index.pairs(radius):
-        out += forest.joins(index.order[i], index.order[j])
-    return out
+    labels = parent.copy()
+    while begin < n:
+        end = min(n, begin + step)
+        for i, j in index.pairs(radius, begin, end, labels, tight):
+            a, b = labels[i], labels[j]
+            _, first = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+            for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                r, s = root(x), root(y)
+                if r != s:
+                    parent[max(r, s)] = min(r, s)
+                    out.append((x, y))
+        labels = parent[labels]
+        while not np.array_equal(labels, further := parent[labels]):
+            labels = further
+        begin, step = end, min(step * 2, max(1, FRONTIER // FANOUT))
+    return index.order[np.array(out, np.int64).reshape(-1, 2)]
 
 
 def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
@@ -220,9 +251,8 @@ def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64) -> DataF
             lead = np.zeros_like(fp)
             for v in np.unique(b).tolist():
                 lead[b == v] = rotated(fp[b == v], 64 - v * width)  # the bits below the block first
-            found = spanning_links(fp[:, None], group, lead, radius)
-            if found:
-                x, y = np.array(found).T
+            x, y = spanning_links(fp[:, None], group, lead, radius).T
+            if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(fp[y].view(np.int64))], names=["x", "y"])
 
         size = 0
@@ -246,6 +276,66 @@ def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64) -> DataF
     return spread.mapInArrow(run, "x long, y long").distinct()
 
 
+#: The wide form: words of a fingerprint, blocks of 16 bits that deal it, bits of a block that name the shard, and
+#: differing bits allowed in a block.
+WIDE, WIDE_BLOCKS, WIDE_SHARD_BITS, WIDE_TIGHT = 8, 24, 8, 1
+#: Differing bits, in standard deviations above what the similarity makes one expect, up to which a pair is similar.
+SLACK = 1.3
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of this Jaccard similarity of their shingles differ, with some slack.
+
+    Sets of equal size and similarity j have a cosine of 2j / (1 + j); each bit differs with a chance of angle / pi.
+    """
+    n, p = 64 * WIDE, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * p + SLACK * np.sqrt(n * p * (1 - p)))
+
+
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(x, y): links that connect the fingerprints (columns node, fp as binary) within the radius.
+
+    A pair meets where a block of 16 bits differs in one bit at most and its upper half not at all. One of the
+    blocks does so for 99 in 100 pairs of similarity 0.8, and for more of closer ones.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.hex(F.substring("fp", 2 * b + 1, 1)).alias("k")) for b in range(WIDE_BLOCKS)]))
+    dealt = nodes.select("node", "fp", each.alias("s")).select("node", "fp", "s.b", "s.k")
+    spread = dealt.repartition("b", "k").sortWithinPartitions("b", "k")
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush(table: pa.Table):
+            node = table.column("node").to_numpy()
+            code = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, WIDE)
+            b, k = table.column("b").to_numpy(), np.array([int(x, 16) for x in table.column("k").to_pylist()])
+            group = np.cumsum(np.append(False, (b[1:] != b[:-1]) | (k[1:] != k[:-1])))
+            for v in np.unique(b).tolist():  # the block comes first, at the top of the first word
+                own = b == v
+                turned = np.roll(code[own], -(v // 4), axis=1)
+                turned[:, 0] = rotated(turned[:, 0], 16 * (v % 4))
+                code[own] = turned
+            x, y = spanning_links(code, group, code[:, 0], radius, WIDE_TIGHT).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["x", "y"])
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < SHARD // WIDE:
+                continue
+            table = pa.Table.from_batches(held)
+            b, k = table.column("b").to_numpy(), np.array(table.column("k").to_pylist())
+            changed = np.flatnonzero((b[1:] != b[:-1]) | (k[1:] != k[:-1]))
+            if len(changed):
+                yield from flush(table.slice(0, int(changed[-1]) + 1))
+                held = table.slice(int(changed[-1]) + 1).to_batches()
+                size = len(table) - int(changed[-1]) - 1
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    return spread.mapInArrow(run, "x long, y long").distinct()
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -295,6 +385,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(classes.join(named, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): groups of documents whose shingles' similarity is at least ``similarity``.
+
+    The similarity is told by the fingerprints: 512 bits of the distinct shingles, of which as many may differ as the
+    similarity lets one expect, with SLACK. Equal texts are one node, so copies cost nothing. Null and empty texts
+    have no shingles, are equal and form one group. Rows without a doc_id take no part.
+    """
+    schema = "doc_id long, twin binary, fp binary"
+
+    def run(batches):
+        for batch in batches:
+            twins, fps = [], []
+            for t in batch.column("text").to_pylist():
+                raw = t.encode("utf-8", "surrogatepass")
+                twins.append(xxhash.xxh3_128_digest(raw))
+                h = np.unique(shingle_hashes(t, words))
+                fps.append(majority(mixed(h, WIDE)).astype(">u8").tobytes() if len(h) else bytes(8 * WIDE))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(twins, pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "twin", "fp"])
+
+    rows = cut(docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, schema), "wide-simhash")
+    # fingerprints of equal texts are equal, so the least of them is theirs; equal fingerprints need no link search either
+    twins = rows.groupBy("twin", "fp").agg(F.min("doc_id").alias("node"))
+    nodes = twins.groupBy("fp").agg(F.min("node").alias("node"))
+    links = wide_links(nodes, wide_radius(similarity))
+    roots = components(links.unionAll(rows.join(nodes.withColumnRenamed("node", "least"), "fp").select(F.col("doc_id").alias("x"), F.col("least").alias("y"))), "wide-links")
+    return rows.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar ones, that with the least doc_id. Rows without an id stay; of rows that repeat an id one stays."""
+    groups = cut(similar_groups(docs, doc_id, text, words, similarity), "similar-groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(fresh(docs, "gone")))
+    kept = docs.join(gone, col(doc_id).cast("long") == F.col(gone.columns[0]), "left_anti")
+    named = docs.where(col(doc_id).isNotNull())
+    if named.select(F.count("*") > F.count_distinct(col(doc_id))).first()[0]:
+        kept = kept.where(col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(col(doc_id).isNull()))
+    return kept
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: words of three, three differing bits."""
     from wordloom.llm.common import table, text_batches
