@@ -8,12 +8,14 @@ corpus order; here it is made by grouping alone, as only equality at LENGTH byte
 
 1. The bytes after each trigger, and the whole span that the phrase's strings reach, are hashed and counted. Bytes
    seen once prove all the phrase's strings unique; equal bytes with one span only prove them all repeated.
-2. Only phrases whose bytes are met with several spans are opened into their single strings, hashed and counted.
-3. The covered bytes of each document are merged and cut out.
-
-Step 2 needs to know which phrases to open. It looks them up in two bit maps, broadcast with a size that is bounded
-(BITMAP_BITS); a wrong hit opens or sends a phrase in vain, and every phrase with the same bytes with it, so
-results stay exact. Hashes that decide have 128 bits.
+2. Phrases whose bytes are met with several spans are split into blocks of BLOCK neighbouring strings, which are
+   counted in the same way.
+3. Blocks met with several spans are opened into their single strings, one block of each span; these, the spans of
+   blocks and the spans of phrases are counted. What is met twice is covered; covered bytes are merged and cut out.
+
+Steps 2 and 3 need to know which phrases and blocks to look into. They look them up in bit maps, broadcast with a
+size that is bounded (BITMAP_BITS); a wrong hit opens something in vain, and everything with the same bytes with
+it, so results stay exact. Hashes that decide have 128 bits.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from wordloom.llm.common import col, cut, fresh, whole_text
 LENGTH = 400
 #: Bytes of the rolling hash's window.
 ROLL = 16
+#: Strings of a block.
+BLOCK = 16
 #: Bytes of text parsed at once; longer texts go through in pieces that overlap by a string.
 PIECE = 1 << 20
 #: Bits of a bit map for each phrase in it, and at most: 128 MB.
@@ -115,19 +119,46 @@ def phrases(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[bytes, n
         yield found
 
 
+def _hash64(joined: bytes, lo, hi) -> np.ndarray:
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(joined[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64).view(np.int64)
+
+
 def _core(joined: bytes, t: np.ndarray, length: int) -> np.ndarray:
-    h, n = xxhash.xxh3_64_intdigest, length // 2 + 1
-    return np.array([h(joined[x : x + n]) for x in t.tolist()], np.uint64).view(np.int64)
+    """The bytes that all strings of a phrase share: from the trigger on."""
+    return _hash64(joined, t, t + (length // 2 + 1))
+
+
+def _blocks(t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, block's farthest start, first, last): starts in blocks by their distance to the trigger."""
+    near, far = (t - hi) // BLOCK, (t - lo) // BLOCK
+    size = far - near + 1
+    which = np.repeat(np.arange(len(t)), size)
+    k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(near, size)
+    begin = t[which] - k * BLOCK - (BLOCK - 1)
+    return which, begin, np.maximum(begin, lo[which]), np.minimum(begin + BLOCK - 1, hi[which])
+
+
+def _name(d: np.ndarray, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A number for one block of one document."""
+    x = d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ lo.view(np.uint64) * np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
 def _hash128(joined: bytes, lo, hi) -> np.ndarray:
     h = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([h(joined[a:b]) for a, b in zip(lo, hi, strict=True)]), "<i8").reshape(-1, 2)
+    return np.frombuffer(b"".join([h(joined[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """The bits of the keys' two places, or-ed together by Spark: at most bits / 64 rows reach the driver."""
-    place = F.explode(F.array(F.col("core").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("core", 32).bitwiseAND(F.lit(bits - 1)))).alias("p")
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit map of the keys (one column of longs), two places each, or-ed together by Spark: at most bits / 64 rows reach the driver."""
+    bits, n = 1 << 16, keys.count()
+    while bits < min(BITMAP_BITS, BITS_PER_PHRASE * n):
+        bits *= 2
+    k = F.col(keys.columns[0])
+    place = F.explode(F.array(k.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(k, 32).bitwiseAND(F.lit(bits - 1)))).alias("p")
     words = keys.select(place).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy()
@@ -147,43 +178,64 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, h, lo, hi): starts lo..hi of repeated strings, for documents (d, h, text) with text never null."""
     spark = docs.sparkSession
 
-    def count(batches):
+    def each(batches):
+        """Phrases of whole batches, with the numbers of their documents."""
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            for joined, _, _, t, lo, hi in phrases(texts, length):
-                span = _hash128(joined, lo.tolist(), (hi + length).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(_core(joined, t, length)), pa.array(span[:, 0]), pa.array(span[:, 1])], names=["core", "s1", "s2"])
+            d, h = (batch.column(c).to_numpy() for c in ("d", "h"))
+            for joined, number, begin, t, lo, hi in phrases(texts, length):
+                yield joined, d[number], h[number], begin, t, lo, hi
+
+    def count(batches):
+        for joined, _, _, _, t, lo, hi in each(batches):
+            span = _hash128(joined, lo, hi + length)
+            yield pa.RecordBatch.from_arrays([pa.array(_core(joined, t, length)), pa.array(span[:, 0]), pa.array(span[:, 1])], names=["core", "s1", "s2"])
 
-    counted = docs.select("text").mapInArrow(count, "core long, s1 long, s2 long")
+    counted = docs.mapInArrow(count, "core long, s1 long, s2 long")
     ends = [f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for f, n in ((F.min, "low"), (F.max, "high"))]
     repeated = counted.groupBy("core").agg(F.count("*").alias("n"), *ends).where("n > 1").select("core", ((F.col("low_s1") != F.col("high_s1")) | (F.col("low_s2") != F.col("high_s2"))).alias("mixed"))
     repeated = cut(repeated, "phrases")
-    bits = 1 << 16
-    while bits < min(BITMAP_BITS, BITS_PER_PHRASE * repeated.count()):
-        bits *= 2
-    maps = spark.sparkContext.broadcast((_bitmap(repeated, bits), _bitmap(repeated.where("mixed"), bits)))
+    maps = spark.sparkContext.broadcast((_bitmap(repeated.select("core")), _bitmap(repeated.where("mixed").select("core"))))
+
+    def blocks_of(joined, d, h, begin, t, lo, hi):
+        """Of phrases met with several spans: block cores, names, documents, first and last starts."""
+        which, far, a, z = _blocks(t, lo, hi)
+        core = _hash64(joined, far + (BLOCK - 1), far + length)
+        return core, _name(d[which], h[which], a - begin[which]), which, a, z
+
+    def count_blocks(batches):
+        for joined, d, h, begin, t, lo, hi in each(batches):
+            m = _among(maps.value[1], _core(joined, t, length))
+            core, name, _, a, z = blocks_of(joined, d[m], h[m], begin[m], t[m], lo[m], hi[m])
+            span = _hash128(joined, a, z + length)
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(span[:, 0]), pa.array(span[:, 1]), pa.array(name)], names=["core", "s1", "s2", "name"])
+
+    spans = cut(docs.mapInArrow(count_blocks, "core long, s1 long, s2 long, name long").groupBy("core", "s1", "s2").agg(F.count("*").alias("n"), F.min("name").alias("name")), "blocks")
+    cores = cut(spans.groupBy("core").agg(F.sum("n").alias("n"), F.count("*").alias("spans")).where("n > 1"), "block-cores")
+    openers = spans.join(cores.where("spans > 1"), "core", "left_semi").select("name")
+    inner = spark.sparkContext.broadcast((_bitmap(cores.select("core")), _bitmap(openers)))
 
     def open_up(batches):
-        some, mixed = maps.value
-        for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            for joined, number, begin, t, lo, hi in phrases(texts, length):
-                core = _core(joined, t, length)
-                keep = _among(some, core)
-                number, begin, lo, hi, core = number[keep], begin[keep], lo[keep], hi[keep], core[keep]
-                if not len(core):
-                    continue
-                split = _among(mixed, core)
-                size = np.where(split, hi - lo + 1, 1)
-                first = np.repeat(np.where(split, lo, 0), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                which = np.repeat(np.arange(len(core)), size)
-                a = np.where(split[which], first, lo[which])
-                z = np.where(split[which], first, hi[which])
-                h = _hash128(joined, a.tolist(), (z + length).tolist())
-                own = pa.array(number[which])
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(own), batch.column("h").take(own), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(a - begin[which]), pa.array(z - begin[which])], names=["d", "h", "u1", "u2", "lo", "hi"])
-
-    units = docs.select("d", "h", "text").mapInArrow(open_up, "d long, h long, u1 long, u2 long, lo long, hi long")
+        for joined, d, h, begin, t, lo, hi in each(batches):
+            some, mixed = maps.value
+            core = _core(joined, t, length)
+            whole, m = _among(some, core), _among(mixed, core)
+            whole &= ~m
+            bcore, name, which, a, z = blocks_of(joined, d[m], h[m], begin[m], t[m], lo[m], hi[m])
+            which = np.flatnonzero(m)[which]
+            met = _among(inner.value[0], bcore)
+            name, which, a, z = name[met], which[met], a[met], z[met]
+            # a block of one string stands for that string already
+            opened = np.flatnonzero(_among(inner.value[1], name) & (z > a))
+            size = z[opened] - a[opened] + 1
+            single = np.repeat(a[opened], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            own = np.concatenate((np.flatnonzero(whole), which, np.repeat(which[opened], size)))
+            first = np.concatenate((lo[whole], a, single))
+            last = np.concatenate((hi[whole], z, single))
+            u = _hash128(joined, first, last + length)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[own], h[own], u[:, 0], u[:, 1], first - begin[own], last - begin[own])], names=["d", "h", "u1", "u2", "lo", "hi"])
+
+    units = docs.mapInArrow(open_up, "d long, h long, u1 long, u2 long, lo long, hi long")
     twice = units.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1").select("u1", "u2")
     return units.join(twice, ["u1", "u2"]).select("d", "h", "lo", "hi")
 
