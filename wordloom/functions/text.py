@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.alphabet import LATIN, Profile
 
@@ -18,7 +19,7 @@ TRAIN, VALIDATION = 0.90, 0.95
 LONGEST = 24
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C, which Spark has no function for."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

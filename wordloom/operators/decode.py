@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def best_classes(frames: Column) -> Column:
@@ -54,7 +55,7 @@ def beam(logp: np.ndarray, width: int = 16, top: int = 8, threshold: float = -10
 def beam_udf(width: int = 16, top: int = 8):
     """The beam search over array<array<double>> columns, batch by batch."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(frames: pd.Series) -> pd.Series:
         return pd.Series([beam(np.array([list(f) for f in x], float), width, top) for x in frames])
 

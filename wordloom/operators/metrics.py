@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.text import wilson
 
@@ -70,7 +71,7 @@ def exact_mcnemar(b: int, c: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_p(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([exact_mcnemar(int(x), int(y)) for x, y in zip(b, c, strict=True)])
 
