@@ -53,10 +53,11 @@ def beam(logp: np.ndarray, width: int = 16, top: int = 8, threshold: float = -10
 
 
 def beam_udf(width: int = 16, top: int = 8):
-    """The beam search over array<array<double>> columns, batch by batch."""
+    """The beam search over array<array<double>> columns of scores, made log-probabilities frame by frame."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(frames: pd.Series) -> pd.Series:
-        return pd.Series([beam(np.array([list(f) for f in x], float), width, top) for x in frames])
+        scores = (np.array([list(f) for f in x], float) for x in frames)
+        return pd.Series([beam(s - np.logaddexp.reduce(s, axis=1, keepdims=True), width, top) for s in scores])
 
     return run
