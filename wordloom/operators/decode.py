@@ -21,6 +21,27 @@ def collapse(classes: Column, blank: int = 0) -> Column:
     return F.filter(F.transform(classes, lambda c, i: F.when((c != blank) & ((i == 0) | (c != F.get(classes, i - 1))), c)), lambda c: c.isNotNull())
 
 
+def merged(scores: Column, into: int, other: int) -> Column:
+    """Log-probabilities in which a class takes over another's share, which then has none."""
+    a, b = F.get(scores, F.lit(into)), F.get(scores, F.lit(other))
+    high, low = F.greatest(a, b), F.least(a, b)
+    both = high + F.log1p(F.exp(low - high))
+    return F.transform(scores, lambda v, i: F.when(i == into, both).when(i == other, F.lit(float("-inf"))).otherwise(v))
+
+
+def masked(scores: Column, allowed: Column, low: float = -1e9) -> Column:
+    """Scores in which the classes that ``allowed``, an array of booleans, leaves out are as good as impossible."""
+    return F.zip_with(scores, allowed, lambda v, ok: F.when(ok, v).otherwise(F.lit(low)))
+
+
+def best_shares(scores: Column, top: int = 5) -> Column:
+    """The best classes, an array of (class, share): shares of the exponentials among them; of equal scores the first class."""
+    ranked = F.slice(F.array_sort(F.transform(scores, lambda v, i: F.struct((-v).alias("cost"), i.alias("class")))), 1, top)
+    weight = F.transform(ranked, lambda r: F.struct(r["class"].alias("class"), F.exp(F.get(ranked, F.lit(0))["cost"] - r["cost"]).alias("w")))
+    total = F.aggregate(weight, F.lit(0.0), lambda s, r: s + r["w"])
+    return F.transform(weight, lambda r: F.struct(r["class"].alias("class"), (r["w"] / total).alias("share")))
+
+
 def beam(logp: np.ndarray, width: int = 16, top: int = 8, threshold: float = -10.0, alpha: float = 0.0, beta: float = 0.0, lm: Callable[[tuple, int | None], float] | None = None) -> list[int]:
     """Prefix beam search: the best prefix by acoustic score, alpha times a language model and beta a character."""
     beams = {(): (0.0, -np.inf, 0.0)}  # prefix: ends in blank, ends in its last class, bonus

@@ -30,3 +30,11 @@ def exclusions(df: DataFrame, key: str, content: Column, label: str, part: str)
     keyed = df.withColumn("digest", F.md5(content))
     told = keyed.groupBy("digest").agg(F.count_distinct(label).alias("labels"), F.max((F.col(part) == "train").cast("int")).alias("trained"))
     return keyed.join(told, "digest").where((F.col("labels") > 1) | ((F.col(part) != "train") & (F.col("trained") == 1))).select(key, F.when(F.col("labels") > 1, "conflict").otherwise("leak").alias("reason"))
+
+
+def ids_not_given(given: DataFrame, top: DataFrame, key: str, block: int = 1_000_000) -> DataFrame:
+    """The ids from 0 to the one number in ``top`` that ``given`` lacks. The range is made block by block in many tasks."""
+    end = top.columns[0]
+    blocks = top.select(F.col(end).alias("top"), F.explode(F.sequence(F.lit(0), F.floor(F.col(end) / block))).alias("b")).repartition("b")
+    ids = blocks.select(F.explode(F.sequence(F.col("b") * block, F.least(F.col("top"), (F.col("b") + 1) * block - 1))).alias(key))
+    return ids.join(given.select(key), key, "left_anti")

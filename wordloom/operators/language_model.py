@@ -60,3 +60,25 @@ def perplexity(words: DataFrame, tables: dict[int, DataFrame], vocabulary: DataF
     order = max(tables)
     grams = _grams(words, order, F.lit(1.0)).groupBy("h", "c").agg(F.sum("w").alias("w"))
     return probabilities(grams, tables, vocabulary).agg(F.exp(-F.sum(F.col("w") * F.log("p")) / F.sum("w")).alias("perplexity"))
+
+
+def back_off(tables: dict[int, DataFrame], vocabulary: DataFrame) -> DataFrame:
+    """(n, h, c, value): the model as plain rows. Of each n-gram its exact log-probability; of each history (c null)
+    the log of the mass it hands to the shorter one. Looking up the longest known n-gram and adding the masses of the
+    histories passed on the way gives every probability."""
+    out = None
+    for n in sorted(tables):
+        grams = probabilities(tables[n].select("h", "c"), {k: t for k, t in tables.items() if k <= n}, vocabulary)
+        rows = grams.select(F.lit(n).cast("bigint").alias("n"), "h", "c", F.log("p").alias("value"))
+        mass = contexts(tables[n]).select(F.lit(n).cast("bigint"), "h", F.lit(None).cast("string"), F.log(DISCOUNT * F.col("types") / F.col("total")))
+        rows = rows.unionAll(mass)
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def training_weights(counts: DataFrame, power: float = 0.5, numbers: float = 0.03, stops: float = 0.02) -> DataFrame:
+    """(word, weight) of the words, count to the power, and of the kinds <number> and <stop>, as shares of the words' sum."""
+    words = counts.select("word", F.pow(F.col("n").cast("double"), F.lit(power)).alias("weight"))
+    total = words.agg(F.sum("weight").alias("t"))
+    kinds = total.select(F.explode(F.array(F.struct(F.lit("<number>").alias("word"), (F.col("t") * numbers).alias("weight")), F.struct(F.lit("<stop>").alias("word"), (F.col("t") * stops).alias("weight")))).alias("k")).select("k.*")
+    return words.unionByName(kinds)

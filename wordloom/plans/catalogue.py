@@ -596,3 +596,7 @@ def stream_counts(spark, sf_dir):
 @query("with u as (select range as item, " + _U.format(s="'stream'", k="range::varchar") + " as u from range(10000)) select case when u < 0.03 then 'number' when u < 0.13 then 'built' when u < 0.23 then 'scrambled' else 'lexicon' end as kind, count(*)::bigint as n, sum(item)::bigint as items from u group by 1")
 def stream_item_kinds(spark, sf_dir):
     return stream.items(spark, 0, 10_000, "stream").groupBy("kind").agg(F.count("*").alias("n"), F.sum("item").alias("items"))
+
+
+# the further parts of the catalogue register themselves
+from wordloom.plans import pictures, reports  # noqa: E402, F401
