@@ -6,21 +6,29 @@ node holds the mask of the bits on which all its members agree and their pattern
 nodes, and a node keeps only the mask bits its parent has not taken out already. A search adds up the differences
 on the way down and prunes a node, with all its members, once they exceed the radius.
 
+Documents whose shingles are similar are found exactly: prefix filtering for candidates, whole sets to decide.
+
 Links become components by repeated hooking to the least neighbour and shortcutting, all in Spark.
 """
 
 from __future__ import annotations
 
+import math
+import struct
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import col, cut, fresh, whole_text
+from wordloom.llm.common import col, cut, fresh, shared_path, whole_text
+from wordloom.llm.warc import file_system
 
 #: Children of a node of the index.
 FANOUT = 16
@@ -59,15 +67,6 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > n).view(">u8").astype(np.uint64)
 
 
-def mixed(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Each hash made into ``width`` independent ones: its own bits stirred with a different odd number each."""
-    out = hashes[:, None] + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        out ^= out >> np.uint64(shift)
-        out *= np.uint64(factor)
-    return out ^ (out >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: int = 3, drop_text: bool = False) -> DataFrame:
     """Adds each whole text's 64-bit SimHash as a signed long. Null and empty texts get zero."""
     keep = [c for c in docs.columns if not (drop_text and c == text)]
@@ -276,64 +275,242 @@ def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64) -> DataF
     return spread.mapInArrow(run, "x long, y long").distinct()
 
 
-#: The wide form: words of a fingerprint, blocks of 16 bits that deal it, bits of a block that name the shard, and
-#: differing bits allowed in a block.
-WIDE, WIDE_BLOCKS, WIDE_SHARD_BITS, WIDE_TIGHT = 8, 24, 8, 1
-#: Differing bits, in standard deviations above what the similarity makes one expect, up to which a pair is similar.
-SLACK = 1.3
+# ---------------------------------------------------------------- exact similarity
 
+#: Texts whose shingles are counted to tell which are common. Any order of shingles finds all pairs; a good one is fast.
+SAMPLE_TEXTS = 10_000
+#: Common shingles that are put last.
+COMMON = 100_000
+#: All pairs of a group of so many texts that share a shingle are listed; larger groups are linked in two rounds.
+SMALL = 8
+#: Shingles that a task holds of the texts it compares.
+HELD = 1 << 22
+#: A text's place is its file (the task attempt that wrote it) and the offset there.
+OFFSET_BITS = 36
+HEAD = "<qI"
+HEAD_BYTES = struct.calcsize(HEAD)
 
-def wide_radius(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts of this Jaccard similarity of their shingles differ, with some slack.
 
-    Sets of equal size and similarity j have a cosine of 2j / (1 + j); each bit differs with a chance of angle / pi.
-    """
-    n, p = 64 * WIDE, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(n * p + SLACK * np.sqrt(n * p * (1 - p)))
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(shingle_hashes(text, words))
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """(x, y): links that connect the fingerprints (columns node, fp as binary) within the radius.
+def least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set shares at least with any set that is similar to it."""
+    return math.ceil(similarity * size - 1e-9)
 
-    A pair meets where a block of 16 bits differs in one bit at most and its upper half not at all. One of the
-    blocks does so for 99 in 100 pairs of similarity 0.8, and for more of closer ones.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.hex(F.substring("fp", 2 * b + 1, 1)).alias("k")) for b in range(WIDE_BLOCKS)]))
-    dealt = nodes.select("node", "fp", each.alias("s")).select("node", "fp", "s.b", "s.k")
-    spread = dealt.repartition("b", "k").sortWithinPartitions("b", "k")
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    return _jaccard(a, b) >= similarity - 1e-12
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(both) - shared)
+
+
+def may_be_similar(n, at, m, where, similarity: float):
+    """Whether sets of n and m shingles can be similar if their first shared shingle has these places in the order."""
+    rest = np.minimum(n - at, m - where)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (rest >= similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
+class Texts:
+    """Texts by their places in the shared folder, as (doc_id, shingles); the last ones used are held."""
+
+    def __init__(self, folder: str, words: int):
+        self.fs, self.base = file_system(folder)
+        self.words, self.held, self.size, self.files = words, OrderedDict(), 0, OrderedDict()
+        self.unpack = zstandard.ZstdDecompressor()
+
+    def __getitem__(self, place: int) -> tuple[int, np.ndarray]:
+        if place in self.held:
+            self.held.move_to_end(place)
+            return self.held[place]
+        name, offset = place >> OFFSET_BITS, place & ((1 << OFFSET_BITS) - 1)
+        if name not in self.files:
+            if len(self.files) >= 64:
+                self.files.popitem(last=False)[1].close()
+            self.files[name] = self.fs.open_input_file(f"{self.base}/{name}")
+        self.files.move_to_end(name)
+        raw = self.files[name].read_at(1 << 12, offset)
+        doc, size = struct.unpack_from(HEAD, raw)
+        if len(raw) < HEAD_BYTES + size:
+            raw += self.files[name].read_at(HEAD_BYTES + size - len(raw), offset + len(raw))
+        text = self.unpack.decompress(raw[HEAD_BYTES : HEAD_BYTES + size]).decode("utf-8", "surrogatepass")
+        self.held[place] = doc, shingle_set(text, self.words)
+        self.size += len(self.held[place][1])
+        while self.size > HELD and len(self.held) > 2:
+            self.size -= len(self.held.popitem(last=False)[1][1])
+        return self.held[place]
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, sorted, and how often each occurs) of those that occur in three texts of a sample."""
+    share = max(1, docs.count() // SAMPLE_TEXTS)
 
     def run(batches):
-        held, size = [], 0
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r["h"] for r in counts], np.int64).view(np.uint64), np.array([r["n"] for r in counts], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def ordered_prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles, rare before common ones, of which a similar set's first ones share one."""
+    if not len(shingles):
+        return shingles
+    h, n = common
+    often = np.zeros(len(shingles), np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        often = np.where(h[at] == shingles, n[at], 0)
+    return shingles[np.lexsort((shingles, often))][: len(shingles) - least_shared(len(shingles), similarity) + 1]
+
+
+def whole_groups(batches, columns: list[str], key: str, least: int) -> Iterator[list[np.ndarray]]:
+    """Sorted batches as arrays, in portions that cut no run of equal keys."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size < least:
+            continue
+        t = pa.Table.from_batches(held)
+        k = t.column(key).to_numpy()
+        changed = np.flatnonzero(k[1:] != k[:-1])
+        if len(changed):
+            end = int(changed[-1]) + 1
+            yield [t.column(c).to_numpy()[:end] for c in columns]
+            held, size = t.slice(end).combine_chunks().to_batches(), len(t) - end
+        least = max(least, 2 * size)
+    if held:
+        t = pa.Table.from_batches(held)
+        yield [t.column(c).to_numpy() for c in columns]
 
-        def flush(table: pa.Table):
-            node = table.column("node").to_numpy()
-            code = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, WIDE)
-            b, k = table.column("b").to_numpy(), np.array([int(x, 16) for x in table.column("k").to_pylist()])
-            group = np.cumsum(np.append(False, (b[1:] != b[:-1]) | (k[1:] != k[:-1])))
-            for v in np.unique(b).tolist():  # the block comes first, at the top of the first word
-                own = b == v
-                turned = np.roll(code[own], -(v // 4), axis=1)
-                turned[:, 0] = rotated(turned[:, 0], 16 * (v % 4))
-                code[own] = turned
-            x, y = spanning_links(code, group, code[:, 0], radius, WIDE_TIGHT).T
-            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["x", "y"])
 
+MET = T.StructType([T.StructField("tok", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("x", "y")), *(T.StructField(n, T.IntegerType()) for n in ("n", "at"))])
+
+
+def meet(tokens: DataFrame, similarity: float) -> DataFrame:
+    """From (tok, place, n, at): pairs x, y of places to be compared, and the rows of large groups (x, tok, n, at; y null).
+
+    Of a large group only the pairs with its first member are listed.
+    """
+    spread = tokens.repartition("tok").sortWithinPartitions("tok", "n", "place")
+
+    def run(batches):
+        for tok, place, n, at in whole_groups(batches, ["tok", "place", "n", "at"], "tok", 100_000):
+            first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+            size = np.diff(np.append(first, len(tok)))
+            group, n64, at64 = np.repeat(np.arange(len(first)), size), n.astype(np.int64), at.astype(np.int64)
+            large = (size > SMALL)[group]
+            x, y = [], []
+            for d in range(1, SMALL):
+                i = np.flatnonzero((group[d:] == group[:-d]) & ~large[d:])
+                x.append(i)
+                y.append(i + d)
+            i = np.flatnonzero(large)
+            x.append(first[group[i]])
+            y.append(i)
+            x, y = np.concatenate(x), np.concatenate(y)
+            near = may_be_similar(n64[x], at64[x], n64[y], at64[y], similarity) & (place[x] != place[y])
+            a, b = place[x[near]], place[y[near]]
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())], names=MET.names)
+            yield pa.RecordBatch.from_arrays([pa.array(tok[i]), pa.array(place[i]), pa.nulls(len(i), pa.int64()), pa.array(n[i]), pa.array(at[i])], names=MET.names)
+
+    return spread.mapInArrow(run, MET)
+
+
+def compared(pairs: DataFrame, folder: str, words: int, similarity: float) -> DataFrame:
+    """(x, y): doc_ids of the pairs of places whose shingles have the similarity."""
+
+    def run(batches):
+        texts = Texts(folder, words)
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size < SHARD // WIDE:
+            x, y = [], []
+            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                (i, s), (j, t) = texts[a], texts[b]
+                if jaccard_at_least(s, t, similarity):
+                    x.append(i)
+                    y.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    return pairs.select("x", "y").distinct().sortWithinPartitions("x", "y").mapInArrow(run, "x long, y long")
+
+
+def group_links(place, n, at, label, texts: Texts, similarity: float, root, join) -> Iterator[tuple[int, int]]:
+    """Links (of doc_ids) that connect all similar texts of a group, given by size; those of one label are connected.
+
+    All but the texts of the most frequent label look for similar ones of other labels. Distance, one less the
+    similarity, obeys the triangle inequality: two texts can't be similar if their distances to the first one of a
+    label are further apart than 1 - similarity.
+    """
+    values, first, own, count = np.unique(label, return_index=True, return_inverse=True, return_counts=True)
+    main, far, known = int(count.argmax()), 1 - similarity + 1e-9, {}
+
+    def distance(x: int, y: int) -> float:
+        return 1 - _jaccard(texts[place[x]][1], texts[place[y]][1])
+
+    for o in np.flatnonzero(own != main).tolist():
+        c = np.arange(np.searchsorted(n, similarity * n[o] - 1e-6), np.searchsorted(n, n[o] / similarity + 1e-6, "right"))
+        c = c[(own[c] != own[o]) & ((own[c] == main) | (c < o))]
+        c = c[may_be_similar(n[c], at[c], n[o], at[o], similarity)]
+        for v in np.unique(own[c]).tolist():
+            if root(int(values[v])) == root(int(label[o])):
                 continue
-            table = pa.Table.from_batches(held)
-            b, k = table.column("b").to_numpy(), np.array(table.column("k").to_pylist())
-            changed = np.flatnonzero((b[1:] != b[:-1]) | (k[1:] != k[:-1]))
-            if len(changed):
-                yield from flush(table.slice(0, int(changed[-1]) + 1))
-                held = table.slice(int(changed[-1]) + 1).to_batches()
-                size = len(table) - int(changed[-1]) - 1
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+            head = int(first[v])
+            apart = distance(head, o)
+            for e in c[own[c] == v].tolist():
+                if e not in known:
+                    known[e] = distance(head, e) if e != head else 0.0
+                if abs(apart - known[e]) > far:
+                    continue
+                (x, s), (y, t) = texts[place[e]], texts[place[o]]
+                if jaccard_at_least(s, t, similarity):
+                    join(int(values[v]), int(label[o]))
+                    yield x, y
+                    break
+
+
+def rest_links(large: DataFrame, folder: str, words: int, similarity: float) -> DataFrame:
+    """(x, y): the links in large groups (tok, x, n, at, root) between texts that are not connected yet."""
+    spread = large.repartition("tok").sortWithinPartitions("tok", "n", "x")
 
-    return spread.mapInArrow(run, "x long, y long").distinct()
+    def run(batches):
+        texts, parent = Texts(folder, words), {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def join(x, y):
+            x, y = sorted((root(x), root(y)))
+            parent[y] = x
+
+        for tok, *rest in whole_groups(batches, ["tok", "x", "n", "at", "root"], "tok", 20_000):
+            first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])).tolist()
+            out = []
+            for a, b in zip(first, [*first[1:], len(tok)], strict=True):
+                if (rest[3][a:b] != rest[3][a]).any():
+                    out += group_links(rest[0][a:b].tolist(), *(c[a:b].astype(np.int64) for c in rest[1:]), texts, similarity, root, join)
+            x, y = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    return spread.mapInArrow(run, "x long, y long")
 
 
 # ---------------------------------------------------------------- components
@@ -386,30 +563,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose shingles' similarity is at least ``similarity``.
+    """(doc_id, component_id): groups of documents that links of a Jaccard similarity of ``similarity`` or more connect.
 
-    The similarity is told by the fingerprints: 512 bits of the distinct shingles, of which as many may differ as the
-    similarity lets one expect, with SLACK. Equal texts are one node, so copies cost nothing. Null and empty texts
-    have no shingles, are equal and form one group. Rows without a doc_id take no part.
+    The similarity is that of the sets of shingles, and no pair is left out: of two similar sets, ordered alike, the
+    first shingles share one (prefix filtering), and pairs that meet there are compared whole. Texts are written to the
+    shared folder and fetched by place for that. Equal sets are one node, so copies cost nothing. Null and empty
+    texts have no shingles, are equal and form one group. Rows without a doc_id take no part.
     """
-    schema = "doc_id long, twin binary, fp binary"
+    spark = docs.sparkSession
+    named = docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    common = spark.sparkContext.broadcast(common_shingles(named, words))
+    folder = shared_path(spark, "similar-texts")
+    schema = "doc_id long, place long, n int, twin binary, first array<long>"
 
     def run(batches):
-        for batch in batches:
-            twins, fps = [], []
-            for t in batch.column("text").to_pylist():
-                raw = t.encode("utf-8", "surrogatepass")
-                twins.append(xxhash.xxh3_128_digest(raw))
-                h = np.unique(shingle_hashes(t, words))
-                fps.append(majority(mixed(h, WIDE)).astype(">u8").tobytes() if len(h) else bytes(8 * WIDE))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(twins, pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "twin", "fp"])
-
-    rows = cut(docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text")).mapInArrow(run, schema), "wide-simhash")
-    # fingerprints of equal texts are equal, so the least of them is theirs; equal fingerprints need no link search either
-    twins = rows.groupBy("twin", "fp").agg(F.min("doc_id").alias("node"))
-    nodes = twins.groupBy("fp").agg(F.min("node").alias("node"))
-    links = wide_links(nodes, wide_radius(similarity))
-    roots = components(links.unionAll(rows.join(nodes.withColumnRenamed("node", "least"), "fp").select(F.col("doc_id").alias("x"), F.col("least").alias("y"))), "wide-links")
+        fs, base = file_system(folder)
+        name, pack, at = TaskContext.get().taskAttemptId(), zstandard.ZstdCompressor(level=1), 0
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+            for batch in batches:
+                places, sizes, twins, first = [], [], [], []
+                for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    h, packed = shingle_set(t, words), pack.compress(t.encode("utf-8", "surrogatepass"))
+                    out.write(struct.pack(HEAD, d, len(packed)) + packed)
+                    places.append(name << OFFSET_BITS | at)
+                    at += HEAD_BYTES + len(packed)
+                    sizes.append(len(h))
+                    twins.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    first.append(ordered_prefix(h, common.value, similarity).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(sizes, pa.int32()), pa.array(twins, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "place", "n", "twin", "first"])
+
+    rows = cut(named.mapInArrow(run, schema), "similar-rows")
+    twins = rows.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min("place").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
+    copies = cut(rows.select("doc_id", "place", "twin").join(twins, "twin").select("doc_id", "least", F.col("place").alias("gone"), "kept"), "similar-copies")
+    single = rows.join(copies.where("gone <> kept").select(F.col("gone").alias("place")), "place", "left_anti")
+    met = cut(meet(single.select("place", "n", F.posexplode("first").alias("at", "tok")).select("tok", "place", "n", "at"), similarity), "similar-met")
+    links = copies.select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
+    links = cut(links.unionAll(compared(met.where("y is not null"), folder, words, similarity)), "similar-links")
+    roots = components(links, "similar-roots")
+    large = met.where("y is null").select("tok", "x", "n", "at")
+    if not large.isEmpty():
+        roots = cut(roots, "similar-roots")
+        owner = rows.select(F.col("place").alias("x"), F.col("doc_id").alias("node")).join(roots, "node", "left").select("x", F.coalesce("root", "node").alias("root"))
+        rest = rest_links(large.join(owner, "x"), folder, words, similarity)
+        roots = components(links.unionAll(rest), "similar-roots")
     return rows.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 
