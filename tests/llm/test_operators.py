@@ -115,6 +115,13 @@ def test_similar_groups_leave_what_is_below(spark):
         assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 80
 
 
+def test_similar_groups_find_all_from_the_similarity_on(spark):
+    # 296 shared shingles of 370, 368 and 352: Jaccard 0.8, 0.804, 0.841; and texts of eight and nine words, 0.8
+    for shared, a, b in ((300, 37, 37), (300, 36, 36), (300, 28, 28), (300, 0, 74), (8, 0, 1)):
+        got = simhash.similar_groups(planted(spark, shared, a, b, 40)).collect()
+        assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 80
+
+
 def test_similar_groups_in_large_groups(spark):
     """A common line, a chain of texts and near copies against brute force: groups of over SMALL that share a shingle."""
     line, texts = prose(40), []
