@@ -268,6 +268,14 @@ def test_warc(spark):
     assert [x[1:3] for x in warc.coalesced(iter([("f", 0, 10), ("f", 20, 5), ("f", 500, 5), ("g", 0, 5)]), gap=50, most=100)] == [(0, 25), (500, 505), (0, 5)]
 
 
+def test_leaks_of_short_items(spark):
+    items = [(1, "abcdefghijklmnopqrst"), (2, "qwertyuiopasdfghjklzxcvbnm123456789"), (3, "zebra 7"), (4, "")]
+    docs = [(1, "so abcdefghi#klmnopqrst it"), (2, "a qwertyuiopa#dfghjklzxc#bnm123456789 b"), (3, "one Zebra 7 two"), (4, "nothing")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: [(x["item_id"], x["edits"]) for x in r["leaks"]] for r in found.collect()}
+    assert got == {1: [(1, 1)], 2: [(2, 2)], 3: [(3, 0)], 4: []}
+
+
 def test_nearest(spark):
     x = RNG.normal(size=(300, 16)).astype(np.float32)
     x[50:90] = x[50]

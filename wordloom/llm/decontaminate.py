@@ -3,7 +3,8 @@
 A string of m characters and a region within k edits of it share at least m - q + 1 - k q of the string's
 q-grams, all on diagonals (position in the text minus position in the item) that differ by at most k. So the
 shared q-grams are counted in bands of diagonals, each 2k+1 wide and overlapping the next by half; bands that
-reach the bound are kept, and a banded alignment decides. No region within the budget is lost.
+reach the bound are kept, and a banded alignment decides. Items for which the bound of Q would not be above zero get a
+smaller q, so no region within the budget is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from wordloom.llm.common import col, fresh, whole_text
 
 #: Characters of a q-gram.
 Q = 12
-#: Edits allowed, as a share of the item's characters; with Q below 1 / BUDGET the bound stays above zero.
+#: Edits allowed, as a share of the item's characters.
 BUDGET = 0.06
 #: Items of a block and their characters: what is broadcast at once. More items take more passes over the texts.
 BLOCK_ITEMS = 2_000
@@ -129,7 +130,7 @@ class Block:
 
     def __post_init__(self):
         self.k = np.array([int(len(p) * self.budget) for p in self.points], np.int64)
-        self.bound = np.maximum(1, np.array([len(p) for p in self.points], np.int64) - self.q + 1 - self.k * self.q)
+        self.bound = np.array([len(p) for p in self.points], np.int64) - self.q + 1 - self.k * self.q
         grams = [qgrams(p, self.q) for p in self.points]
         hashes = np.concatenate([*grams, np.zeros(0, np.uint32)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -200,20 +201,26 @@ class Block:
                 yield i, hit[0], n, hit[1] + begin, hit[2] + begin
 
 
+def gram_size(m: int, budget: float = BUDGET) -> int:
+    """The q of an item of m characters: at most Q, and so small that a region within the budget shares a q-gram."""
+    return max(1, min(Q, m // (int(m * budget) + 1)))
+
+
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", budget: float = BUDGET):
-    """The benchmark in blocks of bounded size; null and shorter items than Q characters can't be looked for and are left out."""
-    ids, points, chars = [], [], 0
+    """The benchmark in blocks of bounded size and one q each; null and empty items can't be looked for and are left out."""
+    held: dict[int, tuple[list, list]] = {}
     # most items have the size of a paragraph; one longer than a block makes a block of its own
-    for row in benchmark.select(col(item).alias("i"), col(text).alias("t")).where(F.length("t") >= Q).orderBy("i", "t").toLocalIterator():
+    for row in benchmark.select(col(item).alias("i"), col(text).alias("t")).where(F.length("t") > 0).orderBy("i", "t").toLocalIterator():
         p = fold(row["t"])
-        if ids and (len(ids) >= BLOCK_ITEMS or chars + len(p) > BLOCK_CHARS):
-            yield Block(ids, points, budget)
-            ids, points, chars = [], [], 0
+        q = gram_size(len(p), budget)
+        ids, points = held.setdefault(q, ([], []))
+        if ids and (len(ids) >= BLOCK_ITEMS or sum(map(len, points)) + len(p) > BLOCK_CHARS):
+            yield Block(ids, points, budget, q)
+            ids, points = held[q] = [], []
         ids.append(row["i"])
         points.append(p)
-        chars += len(p)
-    if ids:
-        yield Block(ids, points, budget)
+    for q in sorted(held, reverse=True):
+        yield Block(*held[q], budget, q)
 
 
 REGION = T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "edits", "shared", "start", "end")])
@@ -233,10 +240,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str =
     region = pa.struct([(f, pa.int64()) for f in REGION.names])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(REGION))])
     for block in blocks(benchmark, text="text", budget=budget):
-        shared = spark.sparkContext.broadcast((block.ids, block.points))
+        shared = spark.sparkContext.broadcast((block.ids, block.points, budget, block.q))
 
         def run(batches, shared=shared):
-            block = Block(*shared.value, budget)
+            block = Block(*shared.value)
             for batch in batches:
                 rows = []
                 new = block.regions(batch.column(len(keep) + 1).to_pylist())
