@@ -1,21 +1,24 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-A rolling hash of short windows triggers phrase ends: a trigger is the least hash among LENGTH / 2 neighbours, so
-every string of LENGTH bytes holds one in its first half, and phrases are short whatever the text. Strings of
-LENGTH bytes that start in one phrase (the suffix of a dictionary phrase, then the parse from its trigger on) share
-the bytes that follow the trigger. Ordering these by the parse that follows and the phrase suffix before it is the
-corpus order; here it is made by grouping alone, as only equality at LENGTH bytes counts:
-
-1. The bytes after each trigger, and the whole span that the phrase's strings reach, are hashed and counted. Bytes
-   seen once prove all the phrase's strings unique; equal bytes with one span only prove them all repeated.
-2. Phrases whose bytes are met with several spans are split into blocks of BLOCK neighbouring strings, which are
-   counted in the same way.
-3. Blocks met with several spans are opened into their single strings, one block of each span; these, the spans of
-   blocks and the spans of phrases are counted. What is met twice is covered; covered bytes are merged and cut out.
-
-Steps 2 and 3 need to know which phrases and blocks to look into. They look them up in bit maps, broadcast with a
-size that is bounded (BITMAP_BITS); a wrong hit opens something in vain, and everything with the same bytes with
-it, so results stay exact. Hashes that decide have 128 bits.
+Parsing. A rolling hash of short windows triggers phrases: the trigger of a start is the leftmost least hash among the
+next ``base / 2`` places, so every string holds its trigger in its first half and equal strings hold the same one.
+Neighbouring starts with one trigger make a phrase. A string is then a suffix of a phrase's head (the bytes before the
+trigger: the dictionary) and the beginning of what follows from the trigger on (the parse).
+
+Pruning. The bytes that all the strings of a phrase share, from the trigger on, are hashed and counted over the
+corpus. Met once, they prove all the phrase's strings unique; met with one whole span only, they prove them repeated.
+
+Corpus order. The phrases left, each distinct span once, are dealt by the shared bytes to shards. In a shard the heads
+are sorted from the trigger backwards, which puts equal suffixes of the dictionary side by side, and the parse is
+sorted by the bytes that follow, with the lengths of common prefixes of neighbours. Both combine into corpus order: by
+equal dictionary suffix, then by place in the parse. A start's longest repeat is what it shares with its neighbours in
+that order (a range minimum over the parse's common prefixes), so one order answers several lengths.
+
+Hot places. Spans met very often are joined back with salts. Shared bytes met with more than ``CAP`` distinct spans
+are not sorted in one task: their strings are hashed and counted one by one, added up before the shuffle.
+
+Only the bit maps of the pruning are broadcast (BITMAP_BITS); a wrong hit costs time, not correctness. Hashes that
+decide have 128 bits; the order compares bytes.
 """
 
 from __future__ import annotations
@@ -34,14 +37,20 @@ from wordloom.llm.common import col, cut, fresh, whole_text
 
 #: Bytes of a string that may not occur twice.
 LENGTH = 400
+#: Bytes of a passage of some fifty words, and the words from which op10 counts one.
+PASSAGE, PASSAGE_WORDS = 256, 51
 #: Bytes of the rolling hash's window.
 ROLL = 16
-#: Strings of a block.
-BLOCK = 16
 #: Bytes of text parsed at once; longer texts go through in pieces that overlap by a string.
 PIECE = 1 << 20
 #: Bits of a bit map for each phrase in it, and at most: 128 MB.
 BITS_PER_PHRASE, BITMAP_BITS = 12, 1 << 30
+#: Distinct spans of the same shared bytes that are put in order together; beyond, strings are counted one by one.
+CAP = 8_192
+#: Spans that a task holds to tell equal ones apart before the shuffle, and that are put in order at once.
+HELD, SORTED = 100_000, 60_000
+#: A span is hot if it has more than this share of all phrases: so at most its inverse are.
+HOT = 1e-3
 
 
 def rolling(b: np.ndarray) -> np.ndarray:
@@ -77,35 +86,35 @@ def triggers(b: np.ndarray, reach: int) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def phrases(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, text's number, text's begin, trigger, first start, last start), the last five by phrase, piece by piece.
+def phrases(texts: list[bytes], base: int, depth: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, text's number, text's begin, trigger, first start, last start, span's end), all but the first by phrase, piece by piece.
 
-    Only starts of whole strings count. All but the text's begin are places in the bytes; the begin says where these
-    bytes' text begins and may be negative.
+    Only starts of strings of ``base`` bytes count. A span holds all the strings of ``depth`` bytes of its phrase, less
+    what the text has not. Places are places in the bytes; the text's begin may be negative.
     """
-    reach = length // 2
+    reach = base // 2
 
     def parse(numbers, begins, parts):
         joined = b"".join(parts)
-        b = np.frombuffer(joined, np.uint8)
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes)
-        t = triggers(b, reach)
+        t = triggers(np.frombuffer(joined, np.uint8), reach)
         part = np.repeat(np.arange(len(parts)), sizes)[: len(t)]
-        valid = np.flatnonzero(np.arange(len(t)) + length <= ends[part])
+        place = np.arange(len(t))
+        valid = np.flatnonzero((place + base <= ends[part]) & (place < (ends - sizes)[part] + PIECE))
         if not len(valid):
             return None
         tv, pv = t[valid], part[valid]
         cut_at = np.flatnonzero(np.append(True, (tv[1:] != tv[:-1]) | (valid[1:] != valid[:-1] + 1) | (pv[1:] != pv[:-1])))
         lo, hi = valid[cut_at], valid[np.append(cut_at[1:], len(valid)) - 1]
         p = pv[cut_at]
-        return joined, np.array(numbers)[p], (ends - sizes - np.array(begins))[p], tv[cut_at], lo, hi
+        return joined, np.array(numbers)[p], (ends - sizes - np.array(begins))[p], tv[cut_at], lo, hi, np.minimum(hi + depth, ends[p])
 
     numbers, begins, parts, size = [], [], [], 0
     for k, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - length + 1), PIECE):
-            part = text[at : at + PIECE + length - 1]
-            if len(part) < length:
+        for at in range(0, max(1, len(text) - base + 1), PIECE):
+            part = text[at : at + PIECE + depth - 1]
+            if len(part) < base:
                 continue
             numbers.append(k)
             begins.append(at)
@@ -119,32 +128,10 @@ def phrases(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[bytes, n
         yield found
 
 
-def _hash64(joined: bytes, lo, hi) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(joined[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64).view(np.int64)
-
-
-def _core(joined: bytes, t: np.ndarray, length: int) -> np.ndarray:
-    """The bytes that all strings of a phrase share: from the trigger on."""
-    return _hash64(joined, t, t + (length // 2 + 1))
-
-
-def _blocks(t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase, block's farthest start, first, last): starts in blocks by their distance to the trigger."""
-    near, far = (t - hi) // BLOCK, (t - lo) // BLOCK
-    size = far - near + 1
-    which = np.repeat(np.arange(len(t)), size)
-    k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(near, size)
-    begin = t[which] - k * BLOCK - (BLOCK - 1)
-    return which, begin, np.maximum(begin, lo[which]), np.minimum(begin + BLOCK - 1, hi[which])
-
-
-def _name(d: np.ndarray, h: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """A number for one block of one document."""
-    x = d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ lo.view(np.uint64) * np.uint64(0x165667B19E3779F9)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+def _core(joined: bytes, t: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the bytes that all strings of a phrase share: from the trigger on."""
+    h, size = xxhash.xxh3_64_intdigest, base - base // 2 + 1
+    return np.array([h(joined[a : a + size]) for a in t.tolist()], np.uint64).view(np.int64)
 
 
 def _hash128(joined: bytes, lo, hi) -> np.ndarray:
@@ -174,103 +161,272 @@ def _among(bitmap: np.ndarray, core: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(d, h, lo, hi): starts lo..hi of repeated strings, for documents (d, h, text) with text never null."""
+# ---------------------------------------------------------------- corpus order
+
+
+def _rows(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings as rows of a matrix, their lengths, and their order: by bytes, then by length."""
+    size = np.array([len(p) for p in parts], np.int64)
+    flat = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in parts]), np.uint8).reshape(-1, width)
+    by_length = np.argsort(size, kind="stable")
+    return flat, size, by_length[np.argsort(flat.view(f"S{width}").ravel()[by_length], kind="stable")]
+
+
+def _common(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common prefix of each row, in order, with the row before; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 1 << 14):
+        a, b = order[at - 1 : at - 1 + (1 << 14)][: len(order) - at], order[at : at + (1 << 14)]
+        differ = flat[a] != flat[b]
+        first = np.where(differ.any(1), differ.argmax(1), flat.shape[1])
+        out[at : at + len(b)] = np.minimum(first, np.minimum(size[a], size[b]))
+    return out
+
+
+class _Least:
+    """Least value of ranges, by a table of powers of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x.astype(np.int32)]
+        while 2 << len(self.levels) - 1 <= len(x):
+            last, step = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(last[:-step], last[step:]))
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of x[lo:hi], none of them empty."""
+        out, level = np.zeros(len(lo), np.int64), np.frexp((hi - lo).astype(float))[1] - 1
+        for k in np.unique(level):
+            m = np.flatnonzero(level == k)
+            table = self.levels[k]
+            out[m] = np.minimum(table[lo[m]], table[hi[m] - (1 << k)])
+        return out
+
+
+def longest_repeats(spans: list[bytes], trigger: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(span, start in it, longest repeat in another of the spans), by distinct spans with their trigger's place and number of starts.
+
+    A repeat shares at least what lies from the start to the trigger; it is told up to ``depth`` bytes.
+    """
+    heads = [s[:t][::-1] for s, t in zip(spans, trigger.tolist(), strict=True)]
+    tails = [s[t : t + depth] for s, t in zip(spans, trigger.tolist(), strict=True)]
+    # dictionary: heads backwards, so that equal suffixes of heads are neighbours
+    flat, size, order = _rows(heads, max(1, int(trigger.max())))
+    shared = _common(flat, size, order)
+    # parse: what follows the triggers
+    flat, size, by_tail = _rows(tails, depth)
+    least = _Least(_common(flat, size, by_tail))
+    rank = np.empty(len(spans), np.int64)
+    rank[by_tail] = np.arange(len(spans))
+    which, back, key = [], [], []
+    near = (trigger - starts + 1)[order]
+    far = trigger[order]
+    place = np.arange(len(spans))
+    for a in range(int(near.min()), int(far.max()) + 1):
+        here = np.flatnonzero((near <= a) & (a <= far))
+        if len(here):
+            # spans whose heads end in the same a bytes: a class, named by its first place
+            name = np.maximum.accumulate(np.where(shared >= a, 0, place)) if a else np.zeros(len(spans), np.int64)
+            which.append(order[here])
+            back.append(np.full(len(here), a))
+            key.append((name[here] + a * len(spans)) << 32 | rank[order[here]])
+    which, back, key = map(np.concatenate, (which, back, key))
+    corpus = np.argsort(key, kind="stable")
+    which, back, key = which[corpus], back[corpus], key[corpus]
+    repeat = np.zeros(len(key), np.int64)
+    i = np.flatnonzero(key[1:] >> 32 == key[:-1] >> 32)
+    if len(i):
+        shares = np.minimum(depth, back[i] + least(rank[which[i]] + 1, rank[which[i + 1]] + 1))
+        np.maximum.at(repeat, i, shares)
+        np.maximum.at(repeat, i + 1, shares)
+    return which, trigger[which] - back, repeat
+
+
+def _covered(span: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(span, from, to): bytes that strings of a length cover, joined where they overlap or touch."""
+    order = np.lexsort((start, span))
+    span, start = span[order], start[order]
+    new = np.append(True, (span[1:] != span[:-1]) | (start[1:] > start[:-1] + length))[: len(span)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(span)) - 1
+    return span[first], start[first], start[last] + length
+
+
+SPAN = "core long, s1 long, s2 long, trigger int, starts int, bytes binary, n long"
+FOUND = "s1 long, s2 long, length int, lo long, hi long, n long"
+
+
+def _ordered(batches, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """FOUND rows of SPAN rows that come sorted by core: cores are put in order together, as many as SORTED spans hold."""
+    depth = max(levels)
+
+    def put(rows: pa.Table) -> pa.RecordBatch:
+        s = np.column_stack([rows.column(c).to_numpy() for c in ("s1", "s2")])
+        names, first, own = np.unique(s, axis=0, return_index=True, return_inverse=True)
+        n = np.bincount(own.ravel(), rows.column("n").to_numpy()).astype(np.int64)
+        picked = rows.take(pa.array(first))
+        spans, trigger, starts = picked.column("bytes").to_pylist(), *(picked.column(c).to_numpy().astype(np.int64) for c in ("trigger", "starts"))
+        which, start, repeat = longest_repeats(spans, trigger, starts, depth)
+        left = np.array([len(x) for x in spans])[which] - start
+        repeat = np.where(n[which] > 1, np.minimum(left, depth), repeat)
+        out = []
+        for length in levels:
+            m = repeat >= length
+            x, lo, hi = _covered(which[m], start[m], length)
+            out.append(np.column_stack((names[x], np.full(len(x), length), lo, hi, n[x])))
+        out = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(np.int32) if k == 2 else out[:, k]) for k in range(6)], names=["s1", "s2", "length", "lo", "hi", "n"])
+
+    held, count = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        count += len(batch)
+        if count >= SORTED:
+            rows = pa.Table.from_batches(held)
+            core = rows.column("core").to_numpy()
+            whole = int(np.flatnonzero(core != core[-1])[-1]) + 1 if core[0] != core[-1] else 0
+            if whole:
+                yield put(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+                count = len(rows) - whole
+    if count:
+        yield put(pa.Table.from_batches(held))
+
+
+def repeated_runs(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), cap: int = CAP) -> DataFrame:
+    """(d, h, length, lo, hi): bytes covered by repeated strings of each length, for documents (d, h, text) with text never null."""
     spark = docs.sparkSession
+    base, depth = min(levels), max(levels)
 
     def each(batches):
         """Phrases of whole batches, with the numbers of their documents."""
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             d, h = (batch.column(c).to_numpy() for c in ("d", "h"))
-            for joined, number, begin, t, lo, hi in phrases(texts, length):
-                yield joined, d[number], h[number], begin, t, lo, hi
+            for joined, number, *rest in phrases(texts, base, depth):
+                yield joined, d[number], h[number], *rest
 
     def count(batches):
-        for joined, _, _, _, t, lo, hi in each(batches):
-            span = _hash128(joined, lo, hi + length)
-            yield pa.RecordBatch.from_arrays([pa.array(_core(joined, t, length)), pa.array(span[:, 0]), pa.array(span[:, 1])], names=["core", "s1", "s2"])
+        for joined, _, _, _, t, lo, _, end in each(batches):
+            span = _hash128(joined, lo, end)
+            yield pa.RecordBatch.from_arrays([pa.array(_core(joined, t, base)), pa.array(span[:, 0]), pa.array(span[:, 1]), pa.array(end - lo)], names=["core", "s1", "s2", "size"])
 
-    counted = docs.mapInArrow(count, "core long, s1 long, s2 long")
+    counted = docs.mapInArrow(count, "core long, s1 long, s2 long, size long")
     ends = [f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for f, n in ((F.min, "low"), (F.max, "high"))]
-    repeated = counted.groupBy("core").agg(F.count("*").alias("n"), *ends).where("n > 1").select("core", ((F.col("low_s1") != F.col("high_s1")) | (F.col("low_s2") != F.col("high_s2"))).alias("mixed"))
-    repeated = cut(repeated, "phrases")
+    mixed = (F.col("low_s1") != F.col("high_s1")) | (F.col("low_s2") != F.col("high_s2"))
+    repeated = counted.groupBy("core").agg(F.count("*").alias("n"), *ends, F.max("size").alias("size")).where("n > 1")
+    repeated = cut(repeated.select("core", "n", "size", mixed.alias("mixed"), F.col("low_s1").alias("s1"), F.col("low_s2").alias("s2")), "phrases")
     maps = spark.sparkContext.broadcast((_bitmap(repeated.select("core")), _bitmap(repeated.where("mixed").select("core"))))
 
-    def blocks_of(joined, d, h, begin, t, lo, hi):
-        """Of phrases met with several spans: block cores, names, documents, first and last starts."""
-        which, far, a, z = _blocks(t, lo, hi)
-        core = _hash64(joined, far + (BLOCK - 1), far + length)
-        return core, _name(d[which], h[which], a - begin[which]), which, a, z
-
-    def count_blocks(batches):
-        for joined, d, h, begin, t, lo, hi in each(batches):
-            m = _among(maps.value[1], _core(joined, t, length))
-            core, name, _, a, z = blocks_of(joined, d[m], h[m], begin[m], t[m], lo[m], hi[m])
-            span = _hash128(joined, a, z + length)
-            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(span[:, 0]), pa.array(span[:, 1]), pa.array(name)], names=["core", "s1", "s2", "name"])
-
-    spans = cut(docs.mapInArrow(count_blocks, "core long, s1 long, s2 long, name long").groupBy("core", "s1", "s2").agg(F.count("*").alias("n"), F.min("name").alias("name")), "blocks")
-    cores = cut(spans.groupBy("core").agg(F.sum("n").alias("n"), F.count("*").alias("spans")).where("n > 1"), "block-cores")
-    openers = spans.join(cores.where("spans > 1"), "core", "left_semi").select("name")
-    inner = spark.sparkContext.broadcast((_bitmap(cores.select("core")), _bitmap(openers)))
-
-    def open_up(batches):
-        for joined, d, h, begin, t, lo, hi in each(batches):
-            some, mixed = maps.value
-            core = _core(joined, t, length)
-            whole, m = _among(some, core), _among(mixed, core)
-            whole &= ~m
-            bcore, name, which, a, z = blocks_of(joined, d[m], h[m], begin[m], t[m], lo[m], hi[m])
-            which = np.flatnonzero(m)[which]
-            met = _among(inner.value[0], bcore)
-            name, which, a, z = name[met], which[met], a[met], z[met]
-            # a block of one string stands for that string already
-            opened = np.flatnonzero(_among(inner.value[1], name) & (z > a))
-            size = z[opened] - a[opened] + 1
-            single = np.repeat(a[opened], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            own = np.concatenate((np.flatnonzero(whole), which, np.repeat(which[opened], size)))
-            first = np.concatenate((lo[whole], a, single))
-            last = np.concatenate((hi[whole], z, single))
-            u = _hash128(joined, first, last + length)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[own], h[own], u[:, 0], u[:, 1], first - begin[own], last - begin[own])], names=["d", "h", "u1", "u2", "lo", "hi"])
-
-    units = docs.mapInArrow(open_up, "d long, h long, u1 long, u2 long, lo long, hi long")
-    twice = units.groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n > 1").select("u1", "u2")
-    return units.join(twice, ["u1", "u2"]).select("d", "h", "lo", "hi")
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, spans: str = "removed") -> DataFrame:
+    def spans(batches):
+        """Distinct spans of shared bytes met with several, a row for each that a task holds."""
+        held: dict[bytes, list] = {}
+
+        def rows():
+            cores, names, places, counts, sizes, texts = zip(*[(c, k, a, n, b, x) for k, (n, c, a, b, x) in held.items()], strict=True)
+            name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(cores, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], names=["core", "s1", "s2", "trigger", "starts", "bytes", "n"])
+
+        for joined, _, _, _, t, lo, hi, end in each(batches):
+            core = _core(joined, t, base)
+            m = np.flatnonzero(_among(maps.value[1], core))
+            for c, a, x, y, z in zip(core[m].tolist(), t[m].tolist(), lo[m].tolist(), hi[m].tolist(), end[m].tolist(), strict=True):
+                own = joined[x:z]
+                k = xxhash.xxh3_128_digest(own)
+                if k in held:
+                    held[k][0] += 1
+                else:
+                    held[k] = [1, c, a - x, y - x + 1, own]
+            if len(held) >= HELD:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
+
+    several = cut(docs.mapInArrow(spans, SPAN), "spans")
+    hot = several.groupBy("core").agg(F.count("*").alias("spans")).where(F.col("spans") > cap).select("core")
+    sizes = several.join(hot, "core", "left_anti").repartition("core").sortWithinPartitions("core")
+    whole = repeated.where(~F.col("mixed")).select("s1", "s2", F.explode(F.array(*[F.lit(x).cast("int") for x in levels])).alias("length"), F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"), "n").where("hi >= length")
+    ordered = sizes.mapInArrow(lambda batches: _ordered(batches, levels), FOUND)
+
+    def strings(batches):
+        """Every string of hot shared bytes by its hash."""
+        for batch in batches:
+            for s1, s2, starts, own, n in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "starts", "bytes", "n")), strict=True):
+                for length in levels:
+                    lo = np.arange(min(starts, len(own) - length + 1))
+                    if len(lo):
+                        u = _hash128(own, lo, lo + length)
+                        yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(np.full(len(lo), s1)), pa.array(np.full(len(lo), s2)), pa.array(np.full(len(lo), length, np.int32)), pa.array(lo), pa.array(np.full(len(lo), n))], names=["u1", "u2", "s1", "s2", "length", "lo", "n"])
+
+    single = several.join(hot, "core", "left_semi").repartition("core", "s1", "s2").mapInArrow(strings, "u1 long, u2 long, s1 long, s2 long, length int, lo long, n long")
+    salt = F.pmod(F.xxhash64("s1", "s2"), F.lit(16)).alias("salt")
+    twice = single.groupBy("u1", "u2").agg(F.sum("n").alias("m")).where("m > 1").select("u1", "u2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt"))
+    one = single.select("*", salt).join(twice, ["u1", "u2", "salt"]).groupBy("s1", "s2", "length", "lo").agg(F.sum("n").alias("n"))
+    single = one.select("s1", "s2", "length", "lo", (F.col("lo") + F.col("length")).alias("hi"), "n")
+    found = cut(whole.unionByName(ordered).unionByName(single), "found")
+
+    total = found.agg(F.max("n")).first()[0] or 0
+    every = repeated.agg(F.sum("n")).first()[0] or 0
+    split = max(4_096, int(every * HOT))
+    hot_spans = {(r["s1"], r["s2"]): -(-r["n"] // split) for r in found.where(F.col("n") > split).select("s1", "s2", "n").distinct().collect()} if total > split else {}
+    salts = spark.sparkContext.broadcast(hot_spans)
+
+    def occurrences(batches):
+        for joined, d, h, begin, t, lo, _, end in each(batches):
+            m = np.flatnonzero(_among(maps.value[0], _core(joined, t, base)))
+            span = _hash128(joined, lo[m], end[m])
+            salt = np.zeros(len(m), np.int32)
+            if salts.value:
+                for k, key in enumerate(zip(span[:, 0].tolist(), span[:, 1].tolist(), strict=True)):
+                    if key in salts.value:
+                        salt[k] = int(d[m[k]] ^ h[m[k]]) % salts.value[key]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[m], h[m], span[:, 0], span[:, 1], salt, lo[m] - begin[m])], names=["d", "h", "s1", "s2", "salt", "at"])
+
+    dealt = found.select("s1", "s2", "length", "lo", "hi", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.when(F.col("n") > split, F.ceil(F.col("n") / split) - 1).otherwise(0)).cast("int"))).alias("salt"))
+    met = docs.mapInArrow(occurrences, "d long, h long, s1 long, s2 long, salt int, at long").join(dealt, ["s1", "s2", "salt"])
+    return met.select("d", "h", "length", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, spans: str = "removed", shorter: int | None = None, passages: str = "passages", cap: int = CAP) -> DataFrame:
     """Adds the byte ranges (start, end) of each whole text that strings of ``length`` bytes met twice cover, merged and in order.
 
     Texts are UTF-8 bytes; null counts as empty; strings never cross documents; all occurrences count, the first
     too. Texts shorter than ``length`` have none. Rows that repeat, doc_id and text, are occurrences of each other
-    and lose all that fits a string. A clashing name is an error.
+    and lose all that fits a string. A clashing name is an error. With ``shorter`` the ranges of shorter strings
+    are told from the same order in a further column.
     """
-    if spans.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the documents already have {spans}")
-    d, h = fresh(docs, "key_id"), fresh(docs, "key_text")
+    levels = (length,) if shorter is None else (length, shorter)
+    told = [spans] if shorter is None else [spans, passages]
+    for name in told:
+        if name.lower() in {c.lower() for c in docs.columns}:
+            raise ValueError(f"the documents already have {name}")
+    d, h, r = (fresh(docs, name) for name in ("key_id", "key_text", "runs"))
     keyed = docs.withColumn(d, F.coalesce(col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn(h, F.xxhash64(whole_text(text), col(doc_id).isNull()))
-    starts = repeated_starts(keyed.select(F.col(d).alias("d"), F.col(h).alias("h"), whole_text(text).alias("text")).where(F.octet_length("text") >= length), length)
-    # a document's starts come to one row: no more than its own bytes
-    own = starts.groupBy(F.col("d").alias(d), F.col("h").alias(h)).agg(F.collect_list(F.struct("lo", "hi")).alias("starts_"))
+    runs = repeated_runs(keyed.select(F.col(d).alias("d"), F.col(h).alias("h"), whole_text(text).alias("text")).where(F.octet_length("text") >= min(levels)), levels, cap)
+    # a document's runs come to one row: no more than its own bytes
+    own = runs.groupBy(F.col("d").alias(d), F.col("h").alias(h)).agg(F.collect_list(F.struct("length", "lo", "hi")).alias(r))
     joined = keyed.join(own, [d, h], "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    ranges = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, ranges) for name in told)])
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     keep = docs.columns
 
     def merge(batches):
         for batch in batches:
-            ranges = batch.column(len(keep))
-            values, offsets = ranges.values, ranges.offsets.to_numpy()
-            lo, hi = (values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            rows = []
+            runs = batch.column(len(keep))
+            values, offsets = runs.values, runs.offsets.to_numpy()
+            size, lo, hi = (values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            out = [[] for _ in levels]
             for i in range(len(batch)):
                 a, b = offsets[i], offsets[i + 1]
-                rows.append([{"start": int(x), "end": int(y)} for x, y in merged(lo[a:b], hi[a:b] + length)] if b > a and ranges[i].is_valid else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, arrow)], names=schema.names)
+                for k, level in enumerate(levels):
+                    m = a + np.flatnonzero(size[a:b] == level) if b > a and runs[i].is_valid else []
+                    out[k].append([{"start": x, "end": y} for x, y in merged(lo[m], hi[m])] if len(m) else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(o, arrow) for o in out)], names=schema.names)
 
-    return joined.select(*map(col, keep), F.col("starts_")).mapInArrow(merge, schema)
+    return joined.select(*map(col, keep), F.col(r)).mapInArrow(merge, schema)
 
 
 def merged(lo: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -282,22 +438,29 @@ def merged(lo: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated strings: counts and the digest of what is kept."""
+    """Every document without its repeated strings: counts and the digest of what is kept.
+
+    After the contract's columns: the bytes kept, and the repeated passages of over fifty words. These are told, not
+    removed: many are shorter than the strings that may not occur twice.
+    """
     from wordloom.llm.common import table, text_batches
 
     text_batches(spark)
-    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), shorter=PASSAGE)
 
     def digest(batches):
         for batch in batches:
             rows = []
-            for t, spans in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+            for t, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("text", "removed", "passages")), strict=True):
                 raw, at, kept = (t or "").encode("utf-8", "surrogatepass"), 0, hashlib.sha256()
                 for s in spans:
                     kept.update(raw[at : s["start"]])
                     at = s["end"]
                 kept.update(raw[at:])
-                rows.append((len(raw), sum(s["end"] - s["start"] for s in spans), len(spans), kept.hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                removed = sum(s["end"] - s["start"] for s in spans)
+                long = sum(len(raw[s["start"] : s["end"]].split()) >= PASSAGE_WORDS for s in passages)
+                rows.append((len(raw), removed, len(spans), kept.hexdigest(), len(raw) - removed, long))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "n_passages"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], pa.string() if k == 3 else pa.int64()) for k in range(6))], names=names)
 
-    return done.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return done.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, n_passages long")
