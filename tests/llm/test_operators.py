@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from wordloom.llm import ann, bpe, chat, decontaminate, line_dedup, secrets, simhash, substring_dedup, toxicity, warc
+from wordloom.llm import bpe, chat, decontaminate, line_dedup, secrets, simhash, substring_dedup, toxicity, warc
 from wordloom.llm.common import shared_path
 
 RNG = np.random.default_rng(7)
@@ -274,23 +274,3 @@ def test_leaks_of_short_items(spark):
     found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {r["doc_id"]: [(x["item_id"], x["edits"]) for x in r["leaks"]] for r in found.collect()}
     assert got == {1: [(1, 1)], 2: [(2, 2)], 3: [(3, 0)], 4: []}
-
-
-def test_nearest(spark):
-    x = RNG.normal(size=(300, 16)).astype(np.float32)
-    x[50:90] = x[50]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0] * 3), (1004, [None, *[1.0] * 15])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    out = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0").select("vec_id")).orderBy("query_id", "rank").collect():
-        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert sorted(out) == list(range(0, 300, 20))
-    recall, y = [], x.astype(float)
-    for q, found in out.items():
-        s = y @ y[q]
-        order = [i for i in np.lexsort((np.arange(300), -np.round(s, 12))) if i != q][:20]
-        assert len(found) == 20 and all(abs(v - s[i]) < 1e-9 for i, v in found) and q not in [i for i, _ in found]
-        recall.append(len({i for i, _ in found} & set(order)) / 20)
-    assert np.mean(recall) >= 0.9
-    small = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
-    assert ann.nearest(small, small.where("vec_id = 0").select("vec_id")).count() == 2 and ann.nearest(small.where("false"), small).count() == 0
