@@ -1,18 +1,25 @@
 """Secret scans: fixed patterns, and novelty against a primed zstandard compressor.
 
-Strings in a sensitive context (a word such as key, token or auth shortly before them on the same line) are
-candidates. A candidate's novelty is the number of bytes it adds to the compressed size of the code around it,
-with a compressor primed by a dictionary of identifiers. Words and identifiers add few bytes a character, as
-the dictionary or the surroundings hold them; random strings cannot be compressed and are reported.
+Strings in a sensitive context (a word such as key, token or auth shortly before or after them, also on the next
+line, and the lines that go on a reported string, as in a key block) are candidates. A candidate's novelty is the
+number of bytes it adds to the compressed size of the code around it, with a compressor primed by a dictionary that is
+trained on identifiers as code joins them: the dictionary holds their pieces and, as entropy tables, how often
+characters stand in them. Words and names, also such as it has never seen, add few bytes a character; random strings
+cannot be compressed and are reported. ``NOVELTY`` lies between the two (tests measure both sides).
+
+A text's spans depend on the text alone; ``trained`` makes a dictionary from samples of a corpus for those who want one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -30,21 +37,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGNED_LEAST = 6
 
-#: Words that make the rest of their line sensitive.
-CONTEXT = re.compile(r"password|passwd|passphrase|secret|token|api_?key|private_?key|access_?key|credential|bearer|authorization|signature|session", re.I | re.A)
+#: Words that make what is near them sensitive.
+CONTEXT = re.compile(r"password|passwd|passphrase|secret|token|api[_\x20-]?key|private[_\x20-]?key|access[_\x20-]?key|credential|bearer|authorization|signature|session", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: A text without any of these holds neither a sensitive word nor an assignment.
 CONTEXT_PARTS = ("pass", "secret", "token", "api", "key", "credential", "bearer", "authorization", "signature", "session")
 #: A run of 24 hexadecimal digits has 8 in a row among every third character.
 HEX_THIRDS = re.compile(r"[0-9a-f]{8}")
-#: A candidate starts within so many characters of the sensitive word's end.
-REACH = 60
+#: A candidate starts within so many characters after a sensitive word, or ends within so many before one.
+REACH, BACK = 60, 20
+#: A candidate at most so far behind a reported one goes on with it.
+NEXT = 2
 #: So much of the text on either side of the candidate primes the measure.
 AROUND = 160
 #: Compressed bytes that a candidate adds, for each of its own bytes, from which it is reported.
-NOVELTY = 0.62
+NOVELTY = 0.76
 #: Random strings use many different characters; a candidate has at least so many bits a character.
 ENTROPY = 3.0
+#: Bytes of a trained dictionary, and the compression level, at which short matches are not preferred to entropy coding.
+DICTIONARY, LEVEL = 32_768, 1
 
 IDENTIFIERS = " ".join(
     """
@@ -72,11 +83,39 @@ IDENTIFIERS = " ".join(
 ).encode()
 
 
+def named(words: list[str], samples: int = 1_500, seed: int = 1) -> list[bytes]:
+    """Lines of identifiers as code joins them: snake, kebab, camel and upper case, paths, assignments, prose."""
+    draw = random.Random(seed)
+    out = []
+    for k in range(samples):
+        some = [draw.choice(words) for _ in range(draw.randint(4, 16))]
+        style = k % 10
+        if style < 7:
+            out.append(("_", " ", ".", "/", "-", " = ", ": ")[style].join(some))
+        elif style == 7:
+            out.append("".join(w.capitalize() for w in some))
+        elif style == 8:
+            out.append("_".join(some).upper())
+        else:
+            out.append(" ".join(some).capitalize() + ".")
+    return [line.encode() for line in out]
+
+
+def trained(samples: list[bytes], size: int = DICTIONARY) -> bytes:
+    """A dictionary with its entropy tables; the samples are the caller's, and bounded."""
+    return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+
+
+@cache
+def identifiers() -> bytes:
+    return trained(named(IDENTIFIERS.decode().split()))
+
+
 class Novelty:
     """Marginal compressed bytes. A context is bounded, so a candidate costs the same in any text."""
 
-    def __init__(self, identifiers: bytes = IDENTIFIERS, level: int = 3):
-        primed = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, dictionary: bytes | None = None, level: int = LEVEL):
+        primed = zstandard.ZstdCompressionDict(dictionary or identifiers())
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
@@ -107,33 +146,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, threshold: float = NOVELTY) -> Iterator[tuple[int, int, int]]:
-    """Incompressible strings in a sensitive context that overlap no base span, each once."""
+    """Incompressible strings in a sensitive context that overlap no base span, each once, by start."""
     if not sensitive(text):
         return
-    done, covered, ends = -1, [(a, b) for a, _, b in base], 0
-    covered.sort()
-    for word in CONTEXT.finditer(text):
-        stop = word.end() + REACH
-        line = text.find("\n", word.end(), stop)
-        stop = line if line >= 0 else stop
-        for m in CANDIDATE.finditer(text, max(word.end(), done)):
-            a, b = m.span()
-            if a >= stop:
-                break
-            done = max(done, b)
-            while ends < len(covered) and covered[ends][1] <= a:
-                ends += 1
-            if any(x < b and y > a for x, y in covered[ends : ends + 8]):
-                continue
-            if entropy(m[0]) >= ENTROPY and novelty(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= threshold:
-                yield a, 3, b
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    if not words:
+        return
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    taken = sorted((a, b) for a, _, b in base)
+    reach = list(accumulate((b for _, b in taken), max))
+    reported = -NEXT - 1
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        # the last word that ends before the candidate, and the first that starts after it; words do not overlap
+        before, after = bisect_right(ends, a) - 1, bisect_left(starts, b)
+        near = (before >= 0 and a - ends[before] <= REACH) or (after < len(starts) and starts[after] - b <= BACK) or a - reported <= NEXT
+        if not near or entropy(m[0]) < ENTROPY:
+            continue
+        last = bisect_left(taken, b, key=lambda x: x[0]) - 1
+        if last >= 0 and reach[last] > a:
+            continue
+        if novelty(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= threshold:
+            reported = b
+            yield a, 3, b
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "secrets", threshold: float = NOVELTY, drop_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", out: str = "secrets", threshold: float = NOVELTY, drop_text: bool = False, dictionary: bytes | None = None) -> DataFrame:
     """Adds each whole text's spans: an array of (kind, start, end) in code points, end exclusive, by start and then kind.
 
     Null and empty texts have no spans. Every row gives one row, repeats too. Scanning is one narrow pass
@@ -147,7 +189,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets", threshold: f
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        novelty = Novelty()
+        novelty = Novelty(dictionary)
         for batch in batches:
             rows = []
             for t in batch.column(len(keep)).to_pylist():
