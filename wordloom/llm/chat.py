@@ -88,7 +88,7 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 
 
 def fingerprint(found: set[str]) -> str:
-    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:16]
+    return hashlib.sha1("\n".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 class Registry:
@@ -124,7 +124,9 @@ def _get(value: Any, path: str) -> Any:
 
 
 def _text(value: Any) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    """A JSON value as text; halves of surrogate pairs, which no column can hold, become replacement characters."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def turns_of(record: Any, mapping: Mapping) -> list[tuple[str, str]]:
@@ -147,8 +149,9 @@ def turns_of(record: Any, mapping: Mapping) -> list[tuple[str, str]]:
 def canonical_turns(records: DataFrame, record: str = "record", conv_id: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(conv_id, turn, role, text, layout, fingerprint): the turns of JSON records of any known layouts.
 
-    A record that is null, no JSON object or of no known layout gives one row with null turn, role and text and, but
-    for the first two, its fingerprint, so nothing is lost unseen. Repeated rows give repeated turns.
+    A record that is null, no JSON object, nested deeper than Python's stack or of no known layout gives one row with
+    null turn, role and text and, if only its layout is unknown, its fingerprint, so nothing is lost unseen. Halves of
+    surrogate pairs become replacement characters; a list of turns that is none or empty gives no row. Repeated rows give repeated turns.
     """
 
     def run(batches):
@@ -158,12 +161,12 @@ def canonical_turns(records: DataFrame, record: str = "record", conv_id: str = "
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
-                if not isinstance(value, dict):
+                    found = paths(value) if isinstance(value, dict) else None
+                except (ValueError, RecursionError):
+                    found = None
+                if found is None:
                     out.append((i, None, None, None, None, None))
                     continue
-                found = paths(value)
                 mapping, print_ = registry.select(found), fingerprint(found)
                 if mapping is None:
                     out.append((i, None, None, None, None, print_))
@@ -350,3 +353,25 @@ select conv_id, count(*)::bigint as n_turns,
   sum(length(formatted))::bigint as formatted_chars
 from f group by conv_id
 """
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a JSON record in one of four layouts, by conversation and turn, and back to canonical turns."""
+    from wordloom.llm.common import table, text_batches
+
+    text_batches(spark)
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
+
+    def listed(name, a, b):
+        return F.to_json(F.struct(F.array(F.struct(role.alias(a), text.alias(b))).alias(name)))
+
+    which = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)) + F.coalesce(F.col("turn"), F.lit(0)), F.lit(4))
+    record = F.when(which == 0, listed("messages", "role", "content")).when(which == 1, listed("conversations", "from", "value")).when(which == 2, listed("dialogue", "speaker", "utterance")).otherwise(F.to_json(F.struct(role.alias("role"), text.alias("text"))))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", record.alias("record"))
+    return canonical_turns(rows).select("conv_id", "role", "text", "layout")
+
+
+LAYOUTS_SQL = """
+select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+  ['messages', 'conversations', 'dialogue', 'turn row'][1 + (coalesce(conv_id, 0) + coalesce(turn, 0)) % 4] as layout from conversations
+"""

@@ -23,16 +23,20 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here if the cluster names none."""
+    """The folder all executors share: spark.checkpoint.dir, or, on one machine, one set here if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        # one machine: its folder is shared
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
+        held = context._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
@@ -58,7 +62,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_path(spark, name)}/t"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``cut`` wrote and nothing reads any more; the others go when the application ends."""
+    drop_path(df.sparkSession, df.cut_path)
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_warc": warc.op9_warc,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "chat_layouts": chat.chat_layouts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op3_line_dedup": line_dedup.SQL, "op9_warc": warc.SQL}
+    return {"op2_chat_format": chat.SQL, "op3_line_dedup": line_dedup.SQL, "op9_warc": warc.SQL, "chat_layouts": chat.LAYOUTS_SQL}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import col, cut, fresh, shared_path, whole_text
+from wordloom.llm.common import col, cut, drop, fresh, shared_path, whole_text
 from wordloom.llm.warc import file_system
 
 #: Children of a node of the index.
@@ -530,11 +530,13 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large-star: every larger neighbour hooks to the least node known here
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct(), name)
+        old, large = edges, cut(large.where("u <> v").distinct(), name)
         # small-star: smaller neighbours and the node itself hook to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small, name)
+        drop(old)
+        drop(large)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state == before:
             break

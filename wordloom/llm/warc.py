@@ -33,6 +33,8 @@ CRLF = "\r\n"
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
+    if uri.startswith("s3a://"):
+        uri = "s3://" + uri[6:]
     if "://" in uri or uri.startswith("file:"):
         if uri.startswith("file:") and not uri.startswith("file://"):
             uri = "file://" + uri[5:]
@@ -55,7 +57,7 @@ def record(page_id, url: str, payload: bytes, digest: str, size: int, refers_to=
     body = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Page-Id: {'' if page_id is None else page_id}", f"WARC-Payload-Length: {size}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url)}", f"WARC-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url)}", f"WARC-Refers-To-Target-URI: {_line(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Refers-To-Page-Id: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return CRLF.join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -87,7 +89,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     rows = pages.select(col(page_id).cast("long").alias("page_id"), F.coalesce(col(url), F.lit("")).alias("url"), F.encode(whole_text(html), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     # only digests met twice need a response named; the largest id of a digest and its url by a partial aggregate
     sized = rows.select("digest", "page_id", "url", F.octet_length("payload").alias("size")).where(F.col("size") >= LEAST_SHARED)
-    copied = sized.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1 and keeper is not null").select("digest", "keeper")
+    copied = sized.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("k")).where("n > 1 and k.page_id is not null").select("digest", F.col("k.page_id").alias("keeper"), F.col("k.url").alias("keeper_url"))
     marked = rows.join(copied, "digest", "left")
     scheme, root = path.rstrip("/"), "archives"
 
@@ -99,9 +101,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         try:
             for batch in batches:
                 found = {k: [] for k in ("file", "offset", "length", "page_id", "url", "digest", "record_type")}
-                for p, u, body, digest, keeper in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "keeper")), strict=True):
+                for p, u, body, digest, keeper, keeper_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "keeper", "keeper_url")), strict=True):
                     revisit = keeper is not None and p != keeper
-                    raw = member(record(p, u, b"" if revisit else body, digest, len(body), keeper, "", revisit))
+                    raw = member(record(p, u, b"" if revisit else body, digest, len(body), keeper, keeper_url or "", revisit))
                     if out is None:
                         name = f"part-{uuid.uuid4().hex}.warc.gz"
                         out = fs.open_output_stream(f"{folder}/{name}", compression=None)
@@ -118,7 +120,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
             if out is not None:
                 out.close()
 
-    index = marked.select("page_id", "url", "payload", "digest", "keeper").mapInArrow(write, "file string, offset long, length long, page_id long, url string, digest string, record_type string")
+    index = marked.select("page_id", "url", "payload", "digest", "keeper", "keeper_url").mapInArrow(write, "file string, offset long, length long, page_id long, url string, digest string, record_type string")
     index.write.parquet(f"{path}/index")
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
