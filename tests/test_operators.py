@@ -2,13 +2,16 @@
 
 
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import text
 from wordloom.functions.alphabet import MEITEI
-from wordloom.operators import corpus, decode, duplicates, geometry, language_model, lexicon, metrics, sampling, training, vectors
+from wordloom.operators import corpus, decode, duplicates, geometry, labels, language_model, lexicon, metrics, release, sampling, training, vectors
+from wordloom.sources import stores
 from wordloom.sources import text as sources
 from wordloom.streaming import stream
 
@@ -78,9 +81,13 @@ def test_align_and_scores(spark):
     assert ops == {"match": 4, "substitution": 2, "insertion": 1}
 
 
-def test_exact_test():
-    assert metrics.exact_mcnemar(0, 0) == 1 and metrics.exact_mcnemar(9, 1) == pytest.approx(22 / 1024) and metrics.exact_mcnemar(5, 5) == 1
-    assert metrics.exact_mcnemar(2, 7) == metrics.exact_mcnemar(7, 2)
+def test_exact_test(spark):
+    pairs = [(0, 0), (9, 1), (1, 9), (5, 5), (2, 7), (40, 60), (480, 520), (3, 0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, b long, c long").coalesce(1)
+    got = {r["i"]: r["p"] for r in df.select("i", metrics.exact_p("b", "c").alias("p")).collect()}
+    for i, (b, c) in enumerate(pairs):
+        assert got[i] == pytest.approx(min(1.0, 2 * sum(math.comb(b + c, k) for k in range(min(b, c) + 1)) / 2 ** (b + c)), rel=1e-9)
+    assert metrics.half_tail(np.array([10**9]), np.array([10**9 // 2 - 10**5]))[0] == pytest.approx(0, abs=1e-9)
 
 
 def test_ctc(spark):
@@ -109,6 +116,10 @@ def test_draw_equals_search(spark):
     draws = spark.createDataFrame([(i, float(x)) for i, x in enumerate(u)], "item long, u double")
     got = {r["item"]: r["value"] for r in sampling.draw(table, draws).collect()}
     assert got == {i: min(int(np.searchsorted(cum, x, "right")), 299) for i, x in enumerate(u)}
+    small = {r["item"]: r["value"] for r in sampling.draw(table, draws, rows=7).collect()}
+    assert small == got
+    same = spark.createDataFrame([(1, 0.5), (1, 0.5), (1, 0.5)], "item long, u double")
+    assert sampling.draw(table, same).count() == 3 and sampling.draw(table, same.where("false")).count() == 0
 
 
 def test_boxes(spark):
@@ -137,6 +148,116 @@ def test_sources(spark, tmp_path):
     assert sorted(r["text"] for r in sources.read_json_lines(spark, str(tmp_path / "j.jsonl"), "s").collect()) == ["a b", "c"]
     (tmp_path / "d.txt").write_bytes(b"one\ntwo \xff\n")
     assert sources.read_lines(spark, str(tmp_path / "d.txt"), "s").count() == 2
+    (tmp_path / "k.jsonl").write_text('{"a": 12, "b": true, "c": "12", "d": {"e": "f"}}\n{"text": 5, "t": "q"}\n')
+    assert [(r["doc"], r["text"]) for r in sources.read_json_lines(spark, str(tmp_path / "k.jsonl"), "s").orderBy("doc").collect()] == [("k.jsonl#0", "12"), ("k.jsonl#1", "q")]
+
+
+def test_numbers_do_not_change_with_the_splits(spark, tmp_path):
+    folder = tmp_path / "dump"
+    folder.mkdir()
+    lines = ["head"] + [x for k in range(400) for x in ("<page>", f"<title>t{k}</title>", f"<revision><text>body {k}</text></revision>", "</page>")]
+    (folder / "a.xml").write_text("\n".join(lines) + "\n")
+    (folder / "b.xml").write_text("<page>one\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = sources.read_pages(spark, str(folder), "s").collect()
+        numbered = {r["row"]: r["text"] for r in sources.numbered_lines(spark, str(folder / "a.xml")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert numbered == dict(enumerate(lines))
+    by = {}
+    for r in sorted(got, key=lambda r: (r["doc"], r["chunk_no"])):
+        by.setdefault(r["doc"], []).append(r["text"])
+    assert len(by) == 402 and by["a.xml#page0"] == ["head"] and by["a.xml#page7"][2] == "<revision><text>body 6</text></revision>" and by["b.xml#page1"] == ["<page>one"]
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("set/Train/12/x1.PNG", b"abc")
+        z.writestr("__MACOSX/._x1.PNG", b"z")
+    with tarfile.open(tmp_path / "b.tar", "w") as t:
+        for name, data in (("./images/p.png", b"P"), ("./labels.tsv", b"p.png\tka\nq.png\tla\n"), ("./manifest.json", b'{"format": "f", "items": [{"file": "p.png", "kind": "word"}]}')):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    entries = stores.read_archives(spark, str(tmp_path))
+    told = {r["name"]: (r["stem"], r["ext"], r["split"], r["label"], r["system"]) for r in stores.described(entries.where("archive = 'a.zip'")).collect()}
+    assert told == {"set/Train/12/x1.PNG": ("x1", "png", "train", 12, False), "__MACOSX/._x1.PNG": ("._x1", "png", None, None, True)}
+    own = entries.where("archive = 'b.tar'")
+    items = stores.side_json(own, "manifest.json", "format string, items array<struct<file: string, kind: string>>").select(F.explode("items").alias("i")).select("i.*")
+    images = stores.item_kinds(stores.image_set(own), items)
+    assert [(r["name"], r["text"], r["content"], r["kind"]) for r in images.orderBy("row").collect()] == [("p.png", "ka", b"P", "word"), ("q.png", "la", None, None)]
+    assert stores.side_json(own, "config.json", "a int").count() == 0
+    px = spark.createDataFrame([([[[255, 0, 0, 255], [0, 0, 0, 0], [10, 20, 30, 255]]],)], "p array<array<array<int>>>")
+    assert px.select(stores.grey(F.col("p")).alias("g")).first()["g"] == [[76, 255, 18]]
+
+
+def test_checks_of_runs_and_releases(spark):
+    one = spark.createDataFrame([("f1", "ka", "ka"), ("f2", "la", "x")], "file string, reference string, reading string")
+    wide = metrics.runs_wide({"a": one, "b": one.withColumn("reading", F.lit("la"))})
+    assert {r["file"]: r["right"] for r in wide.collect()} == {"f1": [True, False], "f2": [False, True]}
+    for bad in (one.where("file = 'f1'"), one.withColumn("reference", F.lit("z"))):
+        with pytest.raises(Exception, match="same words"):
+            metrics.runs_wide({"a": one, "b": bad}).collect()
+    none = spark.createDataFrame([], "file string, text string")
+    labels_ = one.select("file", F.when(F.col("file") == "f2", "lb").otherwise(F.col("reference")).alias("text"))
+    with pytest.raises(Exception, match="without a recorded correction"):
+        metrics.corrected(one, none, labels_).collect()
+    fix = spark.createDataFrame([("f2", "lb")], "file string, text string")
+    assert {r["file"]: r["changed"] for r in metrics.corrected(one, fix, labels_).collect()} == {"f1": False, "f2": True}
+    items = spark.createDataFrame([(1, 1, "f1", "ka", "word", "written", []), (2, 1, "f2", "la", "word", "empty", ["faint"])], "item int, page int, file string, text string, kind string, status string, flags array<string>")
+    told = spark.createDataFrame([("f1", "ka")], "file string, text string")
+    fixes = spark.createDataFrame([("f1", "kb", "slip")], "file string, text string, reason string")
+    assert [(r["file"], r["text"], r["was"]) for r in release.release(items, told, fixes).collect()] == [("f1", "kb", "ka")]
+    with pytest.raises(Exception, match="not in the set"):
+        release.release(items, told, fixes.withColumn("file", F.lit("f2"))).collect()
+    with pytest.raises(Exception, match="disagree"):
+        release.release(items, told.withColumn("text", F.lit("q")), fixes.where("false")).collect()
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("abz",), ("",)], "w string")
+    assert [r["c"] for r in df.select(labels.encode(F.col("w"), "abz").alias("c")).collect()] == [[1, 2, 3], []]
+    with pytest.raises(Exception, match="outside the alphabet"):
+        df.select(labels.encode(F.col("w"), "ab")).collect()
+    words = spark.createDataFrame([("kala",), ("ba7",)], "w string")
+    made = [r["s"] for r in words.select(labels.scrambled(F.col("w"), F.col("w"), ("bkl", "aei")).alias("s")).collect()]
+    assert all(len(a) == len(b) and all((x in "bkl") == (y in "bkl") for x, y in zip(a, b, strict=True)) for a, b in zip(made, ("kala", "ba7"), strict=True)) and made[1][2] == "7"
+
+
+def test_decoding_with_a_model_against_all_texts(spark):
+    import itertools
+
+    words = spark.createDataFrame([("ab",), ("abb",), ("ba",), ("bab",)], "word string")
+    tables = language_model.counts(words)
+    model = decode.collected(language_model.back_off(tables, tables[1]), 3)
+    vocabulary = [r["c"] for r in tables[1].select("c").collect()]
+    for text in ("", "a", "ab", "abb", "bba"):
+        assert sum(math.exp(model(text, None if c == "$" else c)) for c in vocabulary) == pytest.approx(1)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        s = rng.normal(size=(3, 2))
+        logp = s - np.logaddexp.reduce(s, axis=1, keepdims=True)
+
+        def score(t, logp=logp):
+            return sum(logp[i]["ab".index(c)] + 0.5 * model(t[:i], c) for i, c in enumerate(t)) + 0.5 * model(t, None)
+
+        assert decode.segmented(logp, "ab", model) == max(("".join(t) for t in itertools.product("ab", repeat=3)), key=score)
+        s = rng.normal(size=(4, 3))
+        logp = s - np.logaddexp.reduce(s, axis=1, keepdims=True)
+        best = {}
+        for path in itertools.product(range(3), repeat=4):
+            text = tuple(c for c, _ in itertools.groupby(path) if c)
+            best[text] = np.logaddexp(best.get(text, -np.inf), sum(logp[i][c] for i, c in enumerate(path)))
+        spell = lambda p: "".join("ab"[c - 1] for c in p)
+        total = {t: v + 0.7 * (sum(model(spell(t[:i]), spell(t[i : i + 1])) for i in range(len(t))) + model(spell(t), None)) + 0.1 * len(t) for t, v in best.items()}
+        got = decode.beam(logp, width=1000, alpha=0.7, beta=0.1, lm=lambda p, c: model(spell(p), None if c is None else "ab"[c - 1]))
+        assert total[tuple(got)] == pytest.approx(max(total.values()))
 
 
 def test_stream_replay(spark):
@@ -146,7 +267,20 @@ def test_stream_replay(spark):
 
 
 def test_packing_and_coverage():
-    assert sampling.pack([3, 3, 5, 2], 6) == [0, 0, 1, 2]
+    assert sampling.pack([3, 3, 5, 2], 6) == [0, 0, 1, 2] and sampling.pack([], 6) == []
+    assert sampling.pack([30, 40, 30, 20, 10, 50], 60, 2, 2) == [0, 1, 2, 2, 3, 4]  # a window of two after each row's first
+    widths = np.random.default_rng(2).integers(5, 60, 400).tolist()
+    left, want, r = list(range(400)), [0] * 400, 0
+    while left:
+        used, want[left[0]], seen, rest = widths[left[0]], r, left[1:41], left[41:]
+        kept = []
+        for i in seen:
+            if used + 3 + widths[i] <= 100:
+                used, want[i] = used + 3 + widths[i], r
+            else:
+                kept.append(i)
+        left, r = kept + rest, r + 1
+    assert sampling.pack(widths, 100, 3, 40) == want
     import pandas as pd
 
     rows = sampling.coverage(pd.DataFrame({"word": ["ab", "cd", "ae"]}), 1, 3)

@@ -73,12 +73,68 @@ def beam(logp: np.ndarray, width: int = 16, top: int = 8, threshold: float = -10
     return list(min(final, key=lambda p: (-final[p], p)))
 
 
-def beam_udf(width: int = 16, top: int = 8):
-    """The beam search over array<array<double>> columns of scores, made log-probabilities frame by frame."""
+class Model:
+    """A character model's rows (history, next character, value: log-probability, or the handed-down mass where the character is null) for look-ups in a task."""
+
+    def __init__(self, rows: dict[tuple[str, str | None], float], order: int, start: str, end: str):
+        self.rows, self.order, self.start, self.end, self.seen = rows, order, start, end, {}
+
+    def __call__(self, text: str, c: str | None) -> float:
+        """log P(c | text), the end for c null: the longest known n-gram, and the masses of the histories passed on the way."""
+        key = (text[1 - self.order :] if self.order > 1 else "", c)
+        if key not in self.seen:
+            history, total = (self.start * (self.order - 1) + key[0])[-(self.order - 1) :] if self.order > 1 else "", 0.0
+            while (found := self.rows.get((history, c or self.end))) is None and history:
+                total += self.rows.get((history, None), 0.0)
+                history = history[1:]
+            self.seen[key] = total + (found if found is not None else self.rows[("", None)] + self.floor)
+        return self.seen[key]
+
+    @property
+    def floor(self) -> float:
+        """The even share of a character that the model has never seen."""
+        return -float(np.log(sum(1 for h, c in self.rows if h == "" and c is not None)))
+
+
+def collected(rows, order: int, start: str = "^", end: str = "$", most: int = 5_000_000) -> Model:
+    """The model's rows at hand in every task. They are as many as the n-grams of a lexicon's words; beyond ``most`` that is refused."""
+    if rows.count() > most:
+        raise ValueError(f"a model of over {most} rows is not sent to the tasks")
+    pdf = rows.select("h", "c", "value").toPandas()
+    return Model({(h, None if c is None else c): v for h, c, v in pdf.itertuples(index=False)}, order, start, end)
+
+
+def beam_udf(width: int = 16, top: int = 8, model: Model | None = None, alphabet: str = "", alpha: float = 0.5, beta: float = 0.0):
+    """The beam search over array<array<double>> columns of scores, made log-probabilities frame by frame; class i of i > 0 is the alphabet's i-th character to the model."""
+    spell = None if model is None else lambda prefix, c: model("".join(alphabet[k - 1] for k in prefix), None if c is None else alphabet[c - 1])
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(frames: pd.Series) -> pd.Series:
         scores = (np.array([list(f) for f in x], float) for x in frames)
-        return pd.Series([beam(s - np.logaddexp.reduce(s, axis=1, keepdims=True), width, top) for s in scores])
+        return pd.Series([beam(s - np.logaddexp.reduce(s, axis=1, keepdims=True), width, top, alpha=alpha if spell else 0.0, beta=beta, lm=spell) for s in scores])
+
+    return run
+
+
+def segmented(logp: np.ndarray, alphabet: str, model: Model | None, alpha: float = 0.5, width: int = 16, top: int = 5) -> str:
+    """The best text of one character a row of scores: acoustic score and alpha times the model's, its end included."""
+    if model is None or not alpha:
+        return "".join(alphabet[k] for k in logp.argmax(1))
+    texts, scores = [""], np.zeros(1)
+    for row in logp:
+        best = np.argsort(-row, kind="stable")[:top]
+        scores = (scores[:, None] + row[best] + alpha * np.array([[model(t, alphabet[k]) for k in best] for t in texts])).ravel()
+        longer = [t + alphabet[k] for t in texts for k in best]
+        kept = np.argsort(-scores, kind="stable")[:width]
+        texts, scores = [longer[i] for i in kept], scores[kept]
+    final = scores + alpha * np.array([model(t, None) for t in texts])
+    return texts[int(final.argmax())]
+
+
+def segmented_udf(alphabet: str, model: Model | None = None, alpha: float = 0.5):
+    @F.pandas_udf(T.StringType())
+    def run(frames: pd.Series) -> pd.Series:
+        scores = (np.array([list(f) for f in x], float) for x in frames)
+        return pd.Series([segmented(s - np.logaddexp.reduce(s, axis=1, keepdims=True), alphabet, model, alpha) for s in scores])
 
     return run

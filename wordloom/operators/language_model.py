@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.sources.stores import scratch
+
 DISCOUNT = 0.75
 #: Fixed symbols: the start that pads histories and the end of a word.
 START, END = "^", "$"
@@ -20,9 +22,14 @@ def _grams(words: DataFrame, order: int, weight: Column) -> DataFrame:
 
 
 def counts(words: DataFrame, order: int = 3, weight: Column | None = None) -> dict[int, DataFrame]:
-    """By order (h, c, cnt): weighted counts at the top, below it the number of different symbols seen before the rest."""
+    """By order (h, c, cnt): weighted counts at the top, below it the number of different symbols seen before the rest.
+
+    The top order is written once, in the shared folder: every use of a table starts from it, not from the words.
+    """
     top = _grams(words, order, F.lit(1.0) if weight is None else weight).groupBy("h", "c").agg(F.sum("w").alias("cnt"))
-    out = {order: top}
+    path = scratch(words.sparkSession, "grams")
+    top.write.parquet(path)
+    out = {order: words.sparkSession.read.schema(top.schema).parquet(path)}
     for n in range(order - 1, 0, -1):
         out[n] = out[n + 1].select(F.expr("substring(h, 2)").alias("h"), "c").groupBy("h", "c").agg(F.count("*").cast("double").alias("cnt"))
     return out

@@ -218,13 +218,33 @@ def standard_spellings(spark, sf_dir):
 
 # ------------------------------------------------------------------ language model
 
-_LM = f"""with {_W}, a as (select word from w where regexp_matches(word, '^[a-z]+$')),
-g as (select ('^^' || word || '$')[i:i+1] as h, ('^^' || word || '$')[i+2] as c from (select word, unnest(range(1, length(word) + 2)) as i from a)),
-k3 as (select h, c, count(*)::double as cnt from g group by all), k2 as (select h[2:] as h, c, count(*)::double as cnt from k3 group by all), k1 as (select h[2:] as h, c, count(*)::double as cnt from k2 group by all) """
+def _grams_sql(words: str, order: int) -> str:
+    """(h, c) of the words of a relation."""
+    return f"select ('{'^' * (order - 1)}' || word || '$')[i:i+{order - 2}] as h, ('{'^' * (order - 1)}' || word || '$')[i+{order - 1}] as c from (select word, unnest(range(1, length(word) + 2)) as i from {words})" if order > 1 else f"select '' as h, (word || '$')[i] as c from (select word, unnest(range(1, length(word) + 2)) as i from {words})"
+
+
+def _tables_sql(words: str, order: int, name: str = "") -> str:
+    """Counts k1 to k<order>, contexts x1 to x<order> and the vocabulary v of a model fitted on the words of a relation."""
+    parts = [f"{name}k{order} as (select h, c, count(*)::double as cnt from ({_grams_sql(words, order)}) group by all)"]
+    parts += [f"{name}k{n} as (select h[2:] as h, c, count(*)::double as cnt from {name}k{n + 1} group by all)" for n in range(order - 1, 0, -1)]
+    parts += [f"{name}x{n} as (select h, sum(cnt) as t, count(*) as y from {name}k{n} group by h)" for n in range(1, order + 1)]
+    return ", ".join([*parts, f"{name}v as (select count(*) as v from {name}k1)"])
+
+
+def _asked_sql(rows: str, order: int, name: str = "") -> str:
+    """Rows (h, c, and others) with their probability p, the history ``order - 1`` long."""
+    p, joins = "1.0 / v.v", f"{rows} r cross join {name}v v"
+    for n in range(1, order + 1):
+        joins += f" left join {name}k{n} k{n} on k{n}.h = r.h[{order - n + 1}:] and k{n}.c = r.c left join {name}x{n} x{n} on x{n}.h = r.h[{order - n + 1}:]"
+        p = f"case when x{n}.t is null then {p} else greatest(coalesce(k{n}.cnt, 0) - 0.75, 0) / x{n}.t + 0.75 * x{n}.y / x{n}.t * ({p}) end"
+    return f"select r.*, {p} as p from {joins}"
+
+
+_LM = f"with {_W}, {_tables_sql('w', 3)} "
 
 
 def _model_words(spark, sf_dir):
-    return _counts(spark, sf_dir).where(F.col("word").rlike("^[a-z]+$")).select("word")
+    return _counts(spark, sf_dir).select("word")
 
 
 @query(_LM + "select 1::bigint as n, * from k1 union all select 2, * from k2 union all select 3, * from k3")
@@ -232,38 +252,36 @@ def kn_counts(spark, sf_dir):
     return language_model.stacked(language_model.counts(_model_words(spark, sf_dir)))
 
 
-@query(_LM + "select n::bigint as n, h, sum(cnt) as total, count(*)::bigint as types from (select 1 as n, * from k1 union all select 2, * from k2 union all select 3, * from k3) group by all")
+@query(_LM + "select n::bigint as n, h, t as total, y::bigint as types from (select 1 as n, * from x1 union all select 2, * from x2 union all select 3, * from x3)")
 def kn_contexts(spark, sf_dir):
     return language_model.stacked(language_model.counts(_model_words(spark, sf_dir))).groupBy("n", "h").agg(F.sum("cnt").alias("total"), F.count("*").alias("types"))
 
 
-_PROB = _LM + """, v as (select count(*) as v from k1), x1 as (select sum(cnt) as t, count(*) as y from k1), x2 as (select h, sum(cnt) as t, count(*) as y from k2 group by h), x3 as (select h, sum(cnt) as t, count(*) as y from k3 group by h),
-p as (select k3.h, k3.c, k3.cnt, greatest(k3.cnt - 0.75, 0) / x3.t + 0.75 * x3.y / x3.t * (greatest(k2.cnt - 0.75, 0) / x2.t + 0.75 * x2.y / x2.t * (greatest(k1.cnt - 0.75, 0) / x1.t + 0.75 * x1.y / x1.t * (1.0 / v.v))) as p
-from k3 join k2 on k2.h = k3.h[2:] and k2.c = k3.c join k1 on k1.c = k3.c join x3 on x3.h = k3.h join x2 on x2.h = k2.h cross join x1 cross join v) """
-
-
-@query(_PROB + "select h, c, round(p, 9) as p from p")
+@query(_LM + f"select h, c, round(p, 9) as p from ({_asked_sql('k3', 3)})")
 def kn_probabilities(spark, sf_dir):
     tables = language_model.counts(_model_words(spark, sf_dir))
     return language_model.probabilities(tables[3].select("h", "c"), tables, tables[1]).select("h", "c", F.round("p", 9).alias("p"))
 
 
-@query(_PROB + "select round(exp(-sum(cnt * ln(p)) / sum(cnt)), 6) as perplexity from p")
+@query(_LM + f"select round(exp(-sum(cnt * ln(p)) / sum(cnt)), 6) as perplexity from ({_asked_sql('k3', 3)})")
 def kn_perplexity(spark, sf_dir):
     words = _model_words(spark, sf_dir)
     tables = language_model.counts(words)
     return language_model.perplexity(words, tables, tables[1]).select(F.round("perplexity", 6).alias("perplexity"))
 
 
-@query()
+_PARTED = f"with {_W}, s as (select word, {_SPLIT.format(u=_HASH)} as part from w), train as (select word from s where part = 'train'), val as (select word from s where part = 'val') "
+
+
+@query(_PARTED + ", " + ", ".join(_tables_sql("train", n, f"o{n}") for n in (1, 2, 3, 4)) + " " + " union all ".join(f"select {n}::bigint as n, round(exp(-sum(ln(p)) / count(*)), 6) as perplexity from ({_asked_sql('(' + _grams_sql('val', n) + ')', n, f'o{n}')})" for n in (1, 2, 3, 4)))
 def perplexity_grid(spark, sf_dir):
     """Orders 1 to 4 fitted on the training words, scored on the validation words. Small grid, one plan."""
-    words = lexicon.split(_counts(spark, sf_dir).where(F.col("word").rlike("^[a-z]+$")))
+    words = lexicon.split(_counts(spark, sf_dir))
     train, val = words.where("split = 'train'").select("word"), words.where("split = 'val'").select("word")
     out = None
     for order in (1, 2, 3, 4):
         tables = language_model.counts(train, order)
-        one = language_model.perplexity(val, tables, tables[1]).select(F.lit(order).cast("bigint").alias("order"), F.round("perplexity", 6).alias("perplexity"))
+        one = language_model.perplexity(val, tables, tables[1]).select(F.lit(order).cast("bigint").alias("n"), F.round("perplexity", 6).alias("perplexity"))
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -302,10 +320,13 @@ def excluded_docs(spark, sf_dir):
     return duplicates.exclusions(_parted(spark, sf_dir), "doc_id", F.col("text"), "source", "part")
 
 
-@query("with l as (select distinct label from embeddings), c as (select label, count(*) as n from embeddings group by 1) select label::bigint as label, coalesce(n, 0)::bigint as n, (coalesce(n, 0) = (select min(n) from c)) as fewest from l left join c using (label)")
+@query("with l as (select unnest(range((select max(label) + 1 from embeddings))) as label), c as (select l.label, count(e.label) as n from l left join embeddings e using (label) group by 1) select label::bigint as label, n::bigint as n, (n = (select min(n) from c)) as fewest from c")
 def class_counts_min(spark, sf_dir):
-    counts = _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.min("n").alias("least")))).select(F.col("label").cast("bigint").alias("label"), "n", (F.col("n") == F.col("least")).alias("fewest"))
+    """Every class up to the largest, those without images included."""
+    held = _t(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n"))
+    every = held.agg(F.max("label").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "top")).alias("label"))
+    counts = every.join(held, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.min("n").alias("least")))).select("label", "n", (F.col("n") == F.col("least")).alias("fewest"))
 
 
 @query("select lang, source, count(*)::bigint as n, grouping(lang, source)::bigint as level from documents group by cube (lang, source)")
@@ -351,6 +372,17 @@ def order_lag_corr(spark, sf_dir):
     return vectors.lag_correlations(_t(spark, sf_dir, "events"), "event_type", "event_id", "value").withColumn("r", F.round("r", 6))
 
 
+_SHUFFLED = "('0x' || substr(md5('control|' || event_id::varchar), 1, 8))::ubigint"
+
+
+@query(f"with l as (select unnest([1, 2, 3, 5, 10, 20, 50, 100, 200]) as lag), r as (select event_type, value, row_number() over (partition by event_type order by {_SHUFFLED}) as i from events), p as (select lag, a.value as x, b.value as y from l, r a, r b where a.event_type = b.event_type and b.i = a.i + lag) select lag::bigint as lag, count(*)::bigint as pairs, case when count(*) >= 30 then round(corr(x, y), 6) end as r from p group by lag")
+def order_control(spark, sf_dir):
+    """The same correlations in a random order."""
+    events = _t(spark, sf_dir, "events")
+    mixed = events.withColumn("h", vectors.shuffled_order(events, "event_id", "control"))
+    return vectors.lag_correlations(mixed, "event_type", "h", "value", width=1 << 26).withColumn("r", F.round("r", 6))
+
+
 @query("with q as (select vec_id as query, label, embedding as q from embeddings where vec_id % 100 = 0), d as (select query, e.vec_id, round(list_sum(list_transform(list_zip(q, embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), 6) as d from q join embeddings e on e.label = q.label and e.vec_id <> q.query), r as (select *, row_number() over (partition by query order by d, vec_id) as place from d) select query, vec_id, d, place::bigint as place from r where place <= 5")
 def style_knn(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
@@ -364,13 +396,14 @@ def percentiles_by_class(spark, sf_dir):
 
 # ------------------------------------------------------------------ scores
 
-_READ = "r as (select a.n_name as reference, b.n_name as reading, a.n_regionkey::bigint as kind from nation a join nation b on b.n_nationkey = (a.n_nationkey + 1) % 25) "
+_READ = "r as (select p_name as reference, case p_partkey % 4 when 0 then replace(p_name, 'e', 'i') when 1 then substr(p_name, 2) when 2 then p_name || 'x' else p_name end as reading, (p_size % 5)::bigint as kind from part) "
 
 
 def _readings(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation")
-    b = n.select(((F.col("n_nationkey") + 24) % 25).alias("k"), F.col("n_name").alias("reading"))
-    return n.join(b, F.col("n_nationkey") == F.col("k")).select(F.col("n_name").alias("reference"), "reading", F.col("n_regionkey").cast("bigint").alias("kind"))
+    """Part names, and readings of them with a letter confused, lost or added."""
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    reading = F.when(k == 0, F.replace(name, F.lit("e"), F.lit("i"))).when(k == 1, F.expr("substr(p_name, 2)")).when(k == 2, F.concat(name, F.lit("x"))).otherwise(name)
+    return _t(spark, sf_dir, "part").select(name.alias("reference"), reading.alias("reading"), (F.col("p_size") % 5).cast("bigint").alias("kind"))
 
 
 _RATES = "count(*)::bigint as words, sum(length(reference))::bigint as chars, sum(levenshtein(reference, reading))::bigint as edits, sum((reference <> reading)::int)::bigint as wrong, sum(levenshtein(reference, reading))::double / greatest(sum(length(reference)), 1)::double as cer, sum((reference <> reading)::int)::double / count(*)::double as wer"
@@ -423,7 +456,10 @@ def compare_runs(spark, sf_dir):
     return metrics.compare(_runs(spark, sf_dir), "reference", "a", "b")
 
 
-@query()
+_DISCORD = "d as (select quality, count(*) filter (toxic = 1) as b, count(*) filter (toxic = 0 and doc_id % 7 = 0) as c from labels group by 1) "
+
+
+@query(f"with {_DISCORD}, t as (select *, unnest(range(least(b, c) + 1)) as i from d) select quality::bigint as quality, b::bigint as b, c::bigint as c, round(least(1.0, 2 * sum(case when b + c = 0 then 1.0 else exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) - lgamma(b + c - i + 1.0) - (b + c) * ln(2)) end)), 9) as p from t group by all")
 def mcnemar_exact(spark, sf_dir):
     told = _t(spark, sf_dir, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") == 1).alias("b"), F.count_if((F.col("toxic") == 0) & (F.col("doc_id") % 7 == 0)).alias("c"))
     return told.select(F.col("quality").cast("bigint").alias("quality"), "b", "c", F.round(metrics.exact_p("b", "c"), 9).alias("p"))
@@ -463,21 +499,16 @@ def first_n_per_class(spark, sf_dir):
     return sampling.first_of_each(_t(spark, sf_dir, "embeddings"), "label", 3, "vec_id").select(F.col("label").cast("bigint").alias("label"), "vec_id", "place")
 
 
-@query("select floor(n_chars / 500)::bigint as bucket, count(*)::bigint as n, max(n_chars)::bigint as widest from documents group by 1")
-def width_buckets(spark, sf_dir):
-    return stream.width_buckets(_t(spark, sf_dir, "documents"), "n_chars", 500).groupBy("bucket").agg(F.count("*").alias("n"), F.max("n_chars").alias("widest"))
-
-
 _CDF = "c as (select p_partkey as value, (sum(p_size) over (order by p_partkey))::double / (sum(p_size) over ())::double as cum from part), u as (select o_orderkey as item, " + _U.format(s="'draw'", k="o_orderkey::varchar") + " as u from orders)"
 
 
-@query(f"with {_CDF} select item, coalesce((select min(cum) from c where c.cum > u.u), 1.0) as at, value from u, c where c.cum = coalesce((select min(cum) from c where c.cum > u.u), 1.0)".replace("select item, coalesce((select min(cum) from c where c.cum > u.u), 1.0) as at, value from u, c where c.cum = coalesce((select min(cum) from c where c.cum > u.u), 1.0)", "select u.item, coalesce(c.value, (select arg_max(value, cum) from c)) as value from u asof left join c on u.u < c.cum"))
+@query(f"with {_CDF} select u.item, coalesce(c.value, (select arg_max(value, cum) from c)) as value from u asof left join c on u.u < c.cum")
 def cdf_draw(spark, sf_dir):
     from wordloom.functions.text import fraction
 
-    part = _t(spark, sf_dir, "part")
-    sized = part.withColumn("block", F.floor(F.col("p_partkey") / 1000))
+    part = sampling.numbered(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     # running sums in blocks, then of blocks: no window over all rows
+    sized = part.withColumn("block", F.floor((F.col("place") - 1) / 4096))
     heads = sized.groupBy("block").agg(F.sum("p_size").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = part.agg(F.sum("p_size").alias("total"))
     own = F.sum("p_size").over(Window.partitionBy("block").orderBy("p_partkey"))
@@ -488,27 +519,38 @@ def cdf_draw(spark, sf_dir):
 
 @query()
 def coverage_pick(spark, sf_dir):
-    """A page of words that has every letter five times; a bounded list of ranked words is packed in one task."""
-    ranked = sampling.weighted(_counts(spark, sf_dir).where(F.col("word").rlike("^[a-z]{3,10}$")), "word", F.sqrt("n"), 2000, "cover").select("word", "race")
+    """A page of 120 words that has every letter five times, picked from the whole ranked lexicon.
+
+    The pick can only take a letter's first five words and the first 120 of all, so these, a bounded list, go to one
+    task with the letters' counts over all words.
+    """
+    words = _counts(spark, sf_dir).where(F.length("word").between(3, 10))
+    ranked = words.select("word", sampling.race(F.col("word"), F.sqrt("n"), "cover").alias("race"))
+    letters = ranked.select("word", "race", F.explode(F.array_distinct(F.split("word", ""))).alias("ch"))
+    held = letters.groupBy("ch").agg(F.count("*").alias("words"))
+    first = sampling.first_of_each(letters, "ch", 5, F.desc("race"), "word").select("word", "race")
+    some = first.unionByName(ranked.orderBy(F.desc("race"), "word").limit(120)).distinct()
+    listed = some.select(F.lit(None).cast("string").alias("ch"), F.lit(None).cast("bigint").alias("words"), "word", "race").unionByName(held.select("ch", "words", F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("race")))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["race", "word"], ascending=[False, True]).reset_index(drop=True)
-        rows = sampling.coverage(pdf, 5, 120)
-        return pd.DataFrame({"place": range(1, len(rows) + 1), "word": pdf["word"].iloc[rows].tolist()})
+        counts = pdf.dropna(subset="ch")
+        best = pdf.dropna(subset="word").sort_values(["race", "word"], ascending=[False, True]).reset_index(drop=True)
+        rows = sampling.coverage(best, 5, 120, dict(zip(counts["ch"], counts["words"], strict=True)))
+        return pd.DataFrame({"place": range(1, len(rows) + 1), "word": best["word"].iloc[rows].tolist()})
 
-    return ranked.withColumn("page", F.lit(1)).groupBy("page").applyInPandas(pick, "place long, word string")
+    return listed.withColumn("page", F.lit(1)).groupBy("page").applyInPandas(pick, "place long, word string")
 
 
 @query()
 def row_packing(spark, sf_dir):
-    """Part names packed into rows of 60 characters, brand by brand."""
+    """Part names packed into rows of 60 characters with a gap of two, brand by brand and box by box of a thousand."""
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p_partkey").reset_index(drop=True)
-        pdf["row"] = sampling.pack(pdf["width"].tolist(), 60.0)
-        return pdf[["p_brand", "p_partkey", "row"]]
+        pdf["row"] = sampling.pack(pdf["width"].tolist(), 60.0, 2.0)
+        return pdf[["p_brand", "box", "p_partkey", "row"]]
 
-    parts = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", F.length("p_name").cast("double").alias("width"))
-    return parts.groupBy("p_brand").applyInPandas(rows, "p_brand string, p_partkey long, row long")
+    parts = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", F.floor(F.col("p_partkey") / 1000).alias("box"), F.length("p_name").cast("double").alias("width"))
+    return parts.groupBy("p_brand", "box").applyInPandas(rows, "p_brand string, box long, p_partkey long, row long")
 
 
 # ------------------------------------------------------------------ geometry
@@ -547,10 +589,11 @@ def zones(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", geometry.zone(size - 3, size - 2).alias("zone"))
 
 
-@query("select page_id, (row_number() over (partition by page_id % 8 order by page_id) - 1) // 10 + 1 as sheet from pages")
+@query("select page_id, ((row_number() over (order by page_id) - 1) // 10 + 1)::bigint as sheet, ((row_number() over (order by page_id) - 1) % 10 + 1)::bigint as item from pages")
 def page_numbering(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy(F.col("page_id") % 8).orderBy("page_id"))
-    return _t(spark, sf_dir, "pages").select("page_id", (F.floor((place - 1) / 10) + 1).cast("bigint").alias("sheet"))
+    """Pages in reading order, ten to a sheet."""
+    placed = sampling.numbered(_t(spark, sf_dir, "pages").select("page_id"), "page_id")
+    return placed.select("page_id", (F.floor((F.col("place") - 1) / 10) + 1).cast("bigint").alias("sheet"), ((F.col("place") - 1) % 10 + 1).cast("bigint").alias("item"))
 
 
 # ------------------------------------------------------------------ decoding
@@ -590,7 +633,7 @@ def json_props(spark, sf_dir):
 @query("select event_type, count(*)::bigint as n, sum(value::decimal(20,6))::double as total from events group by 1")
 def stream_counts(spark, sf_dir):
     table = _t(spark, sf_dir, "events")
-    counted = stream.event_counts(stream.file_stream(spark, sf_dir, "events.parquet", table.schema))
+    counted = stream.event_counts(stream.file_stream(spark, f"{sf_dir}/events.parquet", table.schema))
     return stream.drained(spark, counted, "stream_counts").select("event_type", "n", F.col("total").cast("double").alias("total"))
 
 
@@ -600,4 +643,4 @@ def stream_item_kinds(spark, sf_dir):
 
 
 # the further parts of the catalogue register themselves
-from wordloom.plans import pictures, reports  # noqa: E402, F401
+from wordloom.plans import pictures, reports, score_plans, store_plans  # noqa: E402, F401

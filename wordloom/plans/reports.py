@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordloom.operators import decode, duplicates, language_model, names, spacing, training
-from wordloom.plans.catalogue import _PROB, _W, _boxes, _counts, _model_words, _t, query
+from wordloom.plans.catalogue import _LM, _W, _asked_sql, _boxes, _counts, _model_words, _t, query
 
 # ------------------------------------------------------------------ names and numbers
 
@@ -103,7 +103,7 @@ def moving_loss(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w), 7).alias("mean"))
 
 
-@query()
+@query("select vec_id, round(list_reduce(list_transform(embedding, lambda v: v::double), lambda a, v, i: least(0.999::double, i::double / (9 + i)) * a + (1 - least(0.999::double, i::double / (9 + i))) * v), 12) as average from embeddings")
 def averaged_weights(spark, sf_dir):
     """The exponential average, with its warm-up, of each vector's components as if they were a history."""
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(training.moving_average(F.transform("embedding", lambda v: v.cast("double"))), 12).alias("average"))
@@ -142,11 +142,11 @@ def masked_classes(spark, sf_dir):
 # ------------------------------------------------------------------ the language model's export and weights
 
 
-@query(_PROB + "select h, c, round(ln(p), 8) as value from p union all select h, null, round(ln(0.75 * y / t), 8) from x3")
+@query(_LM + " union all ".join(f"select {n}::bigint as n, h, c, round(ln(p), 8) as value from ({_asked_sql(f'k{n}', n)}) union all select {n}, h, null, round(ln(0.75 * y / t), 8) from x{n}" for n in (1, 2, 3)))
 def kn_back_off(spark, sf_dir):
-    """The rows of the highest order of the exported model."""
+    """The rows of the exported model, all orders."""
     tables = language_model.counts(_model_words(spark, sf_dir))
-    return language_model.back_off(tables, tables[1]).where("n = 3").select("h", "c", F.round("value", 8).alias("value"))
+    return language_model.back_off(tables, tables[1]).select("n", "h", "c", F.round("value", 8).alias("value"))
 
 
 @query(f"with {_W}, k as (select word, n::double ** 0.5 as weight from w), a as (select * from k union all select '<number>', sum(weight) * 0.03 from k union all select '<stop>', sum(weight) * 0.02 from k) select word, round(weight, 6) as weight from a")

@@ -2,38 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 CORPUS = "source string, doc string, chunk_no bigint, text string"
 
 
-def _named(df: DataFrame, source: str, text: Column, number: str) -> DataFrame:
-    base = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.select(F.lit(source).alias("source"), base.alias("file"), F.col(number).alias("chunk_no") if number else F.monotonically_increasing_id().alias("chunk_no"), text.alias("text"))
+def numbered_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, row, text): the lines of text files, plain, gzip or bzip2 by suffix, with their number in the file, from 0.
+
+    Folders are read whole, bad bytes replaced. A large file is read in several splits: lines are numbered within a
+    split as they come, after the lines of the splits before, so numbers do not change with the splits.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    lines = lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_path").alias("path_"), F.col("_metadata.file_block_start").alias("at_"), F.monotonically_increasing_id().alias("id_"), F.make_valid_utf8("value").alias("text"))
+    splits = lines.groupBy("path_", "at_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("path_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path_", "at_", (F.coalesce(before, F.lit(0)) - F.col("first_")).alias("shift_"))
+    return lines.join(splits, ["path_", "at_"]).select("file", (F.col("id_") + F.col("shift_")).alias("row"), "text", "path_", "at_")
 
 
 def read_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Plain, gzip or bzip2 text, one chunk a line; the codec follows the suffix. Folders are read whole, bad bytes replaced."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return _named(lines, source, F.make_valid_utf8("value"), "").select("source", F.col("file").alias("doc"), "chunk_no", "text")
+    """Text, CSV and TSV files as chunks, one a line; a file is a document."""
+    return numbered_lines(spark, path).select(F.lit(source).alias("source"), F.col("file").alias("doc"), F.col("row").alias("chunk_no"), "text")
 
 
 def read_json_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """JSON objects by line: the field text, or all string fields; other lines are skipped."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    parsed = _named(lines, source, F.from_json("value", T.MapType(T.StringType(), T.StringType())), "").where("text is not null")
-    texts = F.when(F.map_contains_key("text", "text"), F.array(F.col("text")["text"])).otherwise(F.map_values("text"))
-    return parsed.select("source", F.concat_ws("#", "file", "chunk_no").alias("doc"), "chunk_no", F.explode(texts).alias("text")).where("text is not null")
-
-
-def read_pages(spark: SparkSession, path: str, source: str, row_tag: str = "page") -> DataFrame:
-    """An XML dump, one document a page element, bzip2 included."""
-    pages = spark.read.format("xml").option("rowTag", row_tag).option("valueTag", "body").load(path)
-    texts = [F.col(f.name).cast("string") for f in pages.schema.fields if isinstance(f.dataType, T.StringType)]
-    n = F.monotonically_increasing_id()
-    return pages.select(F.lit(source).alias("source"), F.concat(F.lit(source + "#page"), n.cast("string")).alias("doc"), n.alias("chunk_no"), F.concat_ws("\n", *texts).alias("text"))
+    """JSON objects by line: the field text if it is a string, else all string fields; other lines are skipped but counted.
+
+    Numbers, booleans and nested values are no texts.
+    """
+    parsed = numbered_lines(spark, path).select("file", "row", F.from_json("text", "map<string, variant>").alias("m")).where("m is not null")
+    strings = F.map_filter("m", lambda _, v: F.schema_of_variant(v) == "STRING")
+    texts = F.transform(F.map_entries(strings), lambda e: F.struct(e["key"].alias("k"), e["value"].cast("string").alias("t")))
+    own = F.filter(texts, lambda e: e["k"] == "text")
+    picked = parsed.select("file", "row", F.explode(F.when(F.size(own) > 0, own).otherwise(texts)).alias("e"))
+    return picked.select(F.lit(source).alias("source"), F.concat_ws("#", "file", F.col("row").cast("string")).alias("doc"), F.col("row").alias("chunk_no"), F.col("e.t").alias("text"))
+
+
+def read_pages(spark: SparkSession, path: str, source: str, mark: str = "<page>") -> DataFrame:
+    """An XML dump line by line, bzip2 included: every line is a chunk of the page that was opened last, whatever its nesting.
+
+    Pages are numbered in each file from 1, in order; what stands before the first is page 0.
+    """
+    lines = numbered_lines(spark, path).withColumn("opens", F.contains("text", F.lit(mark)).cast("long"))
+    splits = lines.groupBy("path_", "at_").agg(F.sum("opens").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("path_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path_", "at_", F.coalesce(before, F.lit(0)).alias("before_"))
+    # a split is a bounded part of a file
+    own = F.sum("opens").over(Window.partitionBy("path_", "at_").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    paged = lines.withColumn("own_", own).join(splits, ["path_", "at_"])
+    return paged.select(F.lit(source).alias("source"), F.concat("file", F.lit("#page"), (F.col("before_") + F.col("own_")).cast("string")).alias("doc"), F.col("row").alias("chunk_no"), "text")
 
 
 def read_table(df: DataFrame, source: str, key: str) -> DataFrame:
