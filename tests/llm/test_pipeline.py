@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -84,6 +85,20 @@ def test_pipeline_equals_brute_force(spark, corpus):
     rows = corpus_pipeline.run(spark, folder).collect()
     got = {r["doc_id"]: r["ids"] for r in rows}
     assert len(rows) == len(got) and got == want and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+    assert all(r["decoded"] == library.decode(r["ids"], skip_special_tokens=False) for r in rows)
+
+
+def test_stages_on_odd_tables(spark, corpus):
+    """Repeated ids, nulls, long texts, and columns whose names the operators use."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    odd = docs.where("doc_id < 20").unionByName(docs.where("doc_id < 3")).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("one two three\n"), F.lit(90_000)).alias("text"), "lang", "source", "n_chars"))
+    for name in ("leak", "whole", "twin", "place", "root", "line_key", "fp"):
+        odd = odd.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, corpus[0])
+        assert name == "bpe" or out.columns == odd.columns
+        assert 0 < out.count() <= odd.count(), name
+        assert stage(spark, odd.where("false"), corpus[0]).count() == 0, name
 
 
 def test_pipeline_of_empty_tables(spark, corpus, tmp_path):

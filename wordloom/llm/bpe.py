@@ -192,6 +192,7 @@ class Bpe:
 
     def __init__(self, spec: dict):
         model = spec["model"]
+        self.check(spec)
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
@@ -203,6 +204,24 @@ class Bpe:
         self.table = {b: c for b, c in enumerate(self.alphabet)}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
 
+    @staticmethod
+    def check(spec: dict) -> None:
+        """Refuses a tokenizer whose parts are not those built here: its ids would be wrong without a sign."""
+        def kinds(part: str, inner: str) -> list[dict]:
+            held = spec.get(part) or {}
+            return held.get(inner, [held] if held else [])
+
+        normal, before, model = kinds("normalizer", "normalizers"), kinds("pre_tokenizer", "pretokenizers"), spec["model"]
+        fits = {
+            "normalizer": [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " "),
+            "pre_tokenizer": [p["type"] for p in before] == ["Split", "ByteLevel"] and (before[0]["behavior"], before[0]["invert"]) == ("Removed", True) and not before[1]["add_prefix_space"] and not before[1].get("use_regex", True),
+            "decoder": spec.get("decoder") is None,
+            "model": model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+            "added_tokens": all("<|" in t["content"] and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"]),
+        }
+        if bad := [k for k, ok in fits.items() if not ok]:
+            raise ValueError(f"this tokenizer's {', '.join(bad)} cannot be had here")
+
     @classmethod
     def load(cls, path: str) -> Bpe:
         with open(path, encoding="utf-8") as f:

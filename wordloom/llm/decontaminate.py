@@ -9,6 +9,7 @@ smaller q, so no region within the budget is lost.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +24,13 @@ from wordloom.llm.common import col, fresh, whole_text
 Q = 12
 #: Edits allowed, as a share of the item's characters.
 BUDGET = 0.06
-#: Items of a block and their characters: what is broadcast at once. More items take more passes over the texts.
+#: Items of a block and their characters: what is looked for at once.
 BLOCK_ITEMS = 2_000
 BLOCK_CHARS = 4_000_000
+#: Characters of the blocks that are broadcast together, unless one item is longer. A larger benchmark takes more passes over the texts.
+PASS_CHARS = 32_000_000
+#: Bits of a band and of a place in an item, in one number with the item's number in its block.
+BAND, PLACE = 25, 27
 #: Characters of text scanned at once: longer texts go through in pieces that overlap by more than an item.
 PIECE = 1 << 18
 
@@ -186,13 +191,13 @@ class Block:
         step = self.k[item] + 1
         band = np.floor_divide(diagonal, step)
         # band b holds the diagonals of b and b + 1 times step: two neighbours, so any k + 1 diagonals fit one band
-        top = 1 << 24
-        keys = (np.concatenate((item, item)) << 25 | (np.concatenate((band, band - 1)) + top)) << 22 | np.concatenate((self.place[pick], self.place[pick]))
+        top = 1 << (BAND - 1)
+        keys = (np.concatenate((item, item)) << BAND | (np.concatenate((band, band - 1)) + top)) << PLACE | np.concatenate((self.place[pick], self.place[pick]))
         # a q-gram of the item counts once a band, however often the text repeats it
-        key, shared = np.unique(np.unique(keys) >> 22, return_counts=True)
-        enough = shared >= self.bound[key >> 25]
+        key, shared = np.unique(np.unique(keys) >> PLACE, return_counts=True)
+        enough = shared >= self.bound[key >> BAND]
         for v, n in zip(key[enough].tolist(), shared[enough].tolist(), strict=True):
-            i, b = v >> 25, (v & ((1 << 25) - 1)) - top
+            i, b = v >> BAND, (v & ((1 << BAND) - 1)) - top
             k, step_i, m = int(self.k[i]), int(self.k[i]) + 1, len(self.points[i])
             low, high = b * step_i - k, (b + 2) * step_i + k
             begin = max(0, low)
@@ -212,6 +217,8 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", budg
     # most items have the size of a paragraph; one longer than a block makes a block of its own
     for row in benchmark.select(col(item).alias("i"), col(text).alias("t")).where(F.length("t") > 0).orderBy("i", "t").toLocalIterator():
         p = fold(row["t"])
+        if len(p) >= 1 << PLACE:
+            raise ValueError(f"benchmark item {row['i']} is longer than {(1 << PLACE) - 1} characters")
         q = gram_size(len(p), budget)
         ids, points = held.setdefault(q, ([], []))
         if ids and (len(ids) >= BLOCK_ITEMS or sum(map(len, points)) + len(p) > BLOCK_CHARS):
@@ -223,6 +230,20 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", budg
         yield Block(*held[q], budget, q)
 
 
+def passes(found: Iterator[Block]) -> Iterator[list[tuple]]:
+    """What makes the blocks, in groups that are sent to the tasks together."""
+    group, size = [], 0
+    for block in found:
+        own = sum(map(len, block.points))
+        if group and size + own > PASS_CHARS:
+            yield group
+            group, size = [], 0
+        group.append((block.ids, block.points, block.budget, block.q))
+        size += own
+    if group:
+        yield group
+
+
 REGION = T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "edits", "shared", "start", "end")])
 
 
@@ -231,7 +252,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str =
 
     A region has item_id, edits, shared (q-grams in its band), start and end (code points, end exclusive).
     Null and empty texts have none, an empty benchmark finds none, repeated rows each get theirs, and items with
-    the same text are each reported. Each block of items is one narrow pass over the texts, without a shuffle.
+    the same text are each reported. All blocks of a pass are looked for in one narrow stage, without a shuffle; an
+    item of 2^27 characters or more is an error.
     """
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the documents already have {out}")
@@ -239,16 +261,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str =
     keep = docs.columns
     region = pa.struct([(f, pa.int64()) for f in REGION.names])
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(REGION))])
-    for block in blocks(benchmark, text="text", budget=budget):
-        shared = spark.sparkContext.broadcast((block.ids, block.points, budget, block.q))
+    for group in passes(blocks(benchmark, text="text", budget=budget)):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
-            block = Block(*shared.value)
+            held = [Block(*parts) for parts in shared.value]
             for batch in batches:
-                rows = []
-                new = block.regions(batch.column(len(keep) + 1).to_pylist())
-                for regions, old in zip(new, batch.column(len(keep)).to_pylist(), strict=True):
-                    rows.append(old + [dict(zip(REGION.names, (block.ids[r[0]], *r[1:]), strict=True)) for r in regions])
+                rows, texts = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
+                for block in held:
+                    for row, regions in zip(rows, block.regions(texts), strict=True):
+                        row += [dict(zip(REGION.names, (block.ids[r[0]], *r[1:]), strict=True)) for r in regions]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.list_(region))], names=schema.names)
 
         found = found.select(*map(col, keep), col(out), whole_text(text).alias(fresh(found, "whole"))).mapInArrow(run, schema)

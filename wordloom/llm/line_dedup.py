@@ -56,11 +56,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kep
     names = ("n_lines", "n_removed", "n_spans", *([kept] if kept else []))
     if clash := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
         raise ValueError(f"the documents already have {sorted(clash)}")
-    d = fresh(docs, "line_key")
-    starts = covered_lines(docs, doc_id, text).withColumnRenamed("d", d)
+    d, found = fresh(docs, "line_key"), fresh(docs, "line_starts")
+    starts = covered_lines(docs, doc_id, text).select(F.col("d").alias(d), F.col("starts").alias(found))
     both = docs.withColumn(d, F.coalesce(col(doc_id).cast("long"), F.lit(-(1 << 63)))).join(starts, d, "left")
     s, ls, cov = fresh(both, "starts_"), fresh(both, "lines_"), fresh(both, "covered_")
-    both = both.withColumn(s, F.coalesce(F.col("starts"), F.array().cast("array<int>"))).withColumn(ls, F.split(whole_text(text), "\n", -1))
+    both = both.withColumn(s, F.coalesce(F.col(found), F.array().cast("array<int>"))).withColumn(ls, F.split(whole_text(text), "\n", -1))
     # merged positions: each start covers itself and the next two lines of this row
     both = both.withColumn(cov, F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.col(s), lambda x: F.array(*[x + i for i in range(WINDOW)]))), lambda x: x < F.size(ls)))))
     # a line is kept if no covered position is its own; the covered positions cut the lines into slices, so this is linear

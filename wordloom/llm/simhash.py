@@ -516,31 +516,46 @@ def rest_links(large: DataFrame, folder: str, words: int, similarity: float) ->
 # ---------------------------------------------------------------- components
 
 
+#: Edges of a node from which it is hot, and at least this share of all: so at most its inverse are; and the parts they are dealt to.
+HOT_EDGES, HOT_SHARE, HOT_PARTS = 65_536, 1e-3, 64
+
+
+def _hooked(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with m, what ``least`` (u, m, n) tells of u, which has n edges. A hot node's are dealt to several tasks."""
+    hot = [r["u"] for r in least.where(F.col("n") > max(HOT_EDGES, int(HOT_SHARE * total))).select("u").collect()] if total > HOT_EDGES else []
+    if not hot:
+        return edges.join(least.drop("n"), "u")
+    is_hot = F.col("u").isin(hot)
+    dealt = edges.withColumn("part", F.when(is_hot, F.pmod(F.xxhash64("v"), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int"))
+    told = least.drop("n").withColumn("part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(told, ["u", "part"]).drop("part")
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): the least node of each linked node's component, for links (x, y) of longs.
 
     Large-star and small-star steps by turns (Kiveris and others, 2014), a written table after each, until nothing
-    changes: a number of rounds that grows with the logarithm of the longest chain. No step needs a node's
-    neighbours together: both keep only the least of them by a partial aggregate, so a hot node is one row a task.
+    changes: a number of rounds that grows with the logarithm of the longest chain. Both steps keep only the least of
+    a node's neighbours, by a partial aggregate, and tell it to the node's edges by a join, in which hot nodes are split.
     """
     edges = cut(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), name)
-    before = None
+    before, total = None, edges.count()
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large-star: every larger neighbour hooks to the least node known here
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _hooked(both, least, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, large = edges, cut(large.where("u <> v").distinct(), name)
         # small-star: smaller neighbours and the node itself hook to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _hooked(large, low, total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small, name)
         drop(old)
         drop(large)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state == before:
             break
-        before = state
+        before, total = state, state["n"]
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 

@@ -68,7 +68,7 @@ class Ordinal:
 
     @classmethod
     def fit(cls, rows: list[list[int]], grades: np.ndarray, names: list[str], penalty: float = PENALTY, rounds: int = ROUNDS) -> Ordinal:
-        """Accelerated proximal gradient. Thresholds are theta_0 and softplus gaps, so they stay in order; grades nobody has push theirs out."""
+        """Accelerated proximal gradient. Thresholds take plain steps and a running maximum keeps them in order; grades nobody has push theirs out."""
         n, top = len(rows), max(1, int(grades.max(initial=0)))
         if not n:
             return cls({}, [8.0] * top)
@@ -165,9 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, grade, grades: Iterable[int] = (0,
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """Adds severity (expected grade), p_toxic (probability of a grade above 0) and toxic (p_toxic at least REJECT).
+    """Adds severity (expected grade), p_toxic (probability of a grade above 0) and toxic (p_toxic at least REJECT, and features that speak for it).
 
-    A null or empty text has no features and gets the thresholds' own probabilities. Rows, repeats and further
+    A null or empty text has no features: it gets the thresholds' own probabilities and is not toxic, nor is anything
+    to a model that has found no feature. Rows, repeats and further
     columns stay; a column named like one of the three is an error. One narrow pass without a shuffle.
     """
     more = [("severity", T.DoubleType()), ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())]
@@ -180,8 +181,9 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", drop_text: bool =
     def run(batches):
         model = Ordinal(*shared.value)
         for batch in batches:
-            p = model.probabilities(np.array([model.score(t) for t in batch.column(len(keep)).to_pylist()], float))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= REJECT)], names=schema.names)
+            found = np.array([model.score(t) for t in batch.column(len(keep)).to_pylist()], float)
+            p = model.probabilities(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p[:, 0] >= REJECT) & (found > 0))], names=schema.names)
 
     return docs.select(*map(col, keep), whole_text(text).alias(fresh(docs, "whole"))).mapInArrow(run, schema)
 
