@@ -228,7 +228,7 @@ def release_summary(spark, sf_dir):
     return release.summary(_release(spark, sf_dir)[1])
 
 
-@query("with f as (select case when p_size % 3 = 2 then 'empty' else 'written' end as status, p_brand as kind, p_partkey from part) select 'status' as what, status as value, count(*)::bigint as n from f group by all union all select 'kind', kind, count(*) from f group by all union all select 'flags', unnest(['faint', 'touching']), count(*) from f where p_partkey % 4 = 0 group by all")
+@query("with f as (select case when p_size % 3 = 2 then 'empty' else 'written' end as status, p_brand as kind, p_partkey from part) select 'status' as what, status as value, count(*)::bigint as n from f group by all union all select 'kind', kind, count(*) from f group by all union all select 'flags', flag, count(*) from f, (select unnest(['faint', 'touching']) as flag) where p_partkey % 4 = 0 group by all")
 def set_counts(spark, sf_dir):
     """Status, kinds and flags of a cut set in one pass."""
     return release.counted(_release(spark, sf_dir)[0], "status", "kind", "flags")
