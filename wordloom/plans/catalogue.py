@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from wordloom.functions.text import natural_key, split_of, standard_spelling, words_of
 from wordloom.operators import corpus, decode, duplicates, geometry, language_model, lexicon, metrics, sampling, training, vectors
+from wordloom.sources.stores import stored
 from wordloom.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,7 +266,7 @@ def kn_probabilities(spark, sf_dir):
 
 @query(_LM + f"select round(exp(-sum(cnt * ln(p)) / sum(cnt)), 6) as perplexity from ({_asked_sql('k3', 3)})")
 def kn_perplexity(spark, sf_dir):
-    words = _model_words(spark, sf_dir)
+    words = stored(_model_words(spark, sf_dir), "words")
     tables = language_model.counts(words)
     return language_model.perplexity(words, tables, tables[1]).select(F.round("perplexity", 6).alias("perplexity"))
 
@@ -276,7 +277,7 @@ _PARTED = f"with {_W}, s as (select word, {_SPLIT.format(u=_HASH)} as part from
 @query(_PARTED + ", " + ", ".join(_tables_sql("train", n, f"o{n}") for n in (1, 2, 3, 4)) + " " + " union all ".join(f"select {n}::bigint as n, round(exp(-sum(ln(p)) / count(*)), 6) as perplexity from ({_asked_sql('(' + _grams_sql('val', n) + ')', n, f'o{n}')})" for n in (1, 2, 3, 4)))
 def perplexity_grid(spark, sf_dir):
     """Orders 1 to 4 fitted on the training words, scored on the validation words. Small grid, one plan."""
-    words = lexicon.split(_counts(spark, sf_dir))
+    words = stored(lexicon.split(_counts(spark, sf_dir)).select("word", "split"), "words")
     train, val = words.where("split = 'train'").select("word"), words.where("split = 'val'").select("word")
     out = None
     for order in (1, 2, 3, 4):

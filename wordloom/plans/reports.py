@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.operators import decode, duplicates, language_model, names, spacing, training
-from wordloom.plans.catalogue import _LM, _W, _asked_sql, _boxes, _counts, _model_words, _t, query
+from wordloom.operators import decode, duplicates, language_model, lexicon, names, spacing, training
+from wordloom.plans.catalogue import _LM, _PARTED, _W, _asked_sql, _boxes, _counts, _grams_sql, _model_words, _t, _tables_sql, query
+from wordloom.sources.stores import stored
 
 # ------------------------------------------------------------------ names and numbers
 
@@ -152,3 +153,11 @@ def kn_back_off(spark, sf_dir):
 @query(f"with {_W}, k as (select word, n::double ** 0.5 as weight from w), a as (select * from k union all select '<number>', sum(weight) * 0.03 from k union all select '<stop>', sum(weight) * 0.02 from k) select word, round(weight, 6) as weight from a")
 def training_weights(spark, sf_dir):
     return language_model.training_weights(_counts(spark, sf_dir)).select("word", F.round("weight", 6).alias("weight"))
+
+
+@query(_PARTED + ", " + _tables_sql("train", 6) + f" select round(exp(-sum(ln(p)) / count(*)), 6) as perplexity from ({_asked_sql('(' + _grams_sql('val', 6) + ')', 6)})")
+def kn_order6(spark, sf_dir):
+    """A model of order 6 fitted on the training words and scored on the validation words."""
+    words = stored(lexicon.split(_counts(spark, sf_dir)).select("word", "split"), "words")
+    tables = language_model.counts(words.where("split = 'train'").select("word"), 6)
+    return language_model.perplexity(words.where("split = 'val'").select("word"), tables, tables[1]).select(F.round("perplexity", 6).alias("perplexity"))
