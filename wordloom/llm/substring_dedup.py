@@ -346,7 +346,9 @@ def repeated_runs(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), cap: int
 
     several = cut(docs.mapInArrow(spans, SPAN), "spans")
     hot = several.groupBy("core").agg(F.count("*").alias("spans")).where(F.col("spans") > cap).select("core")
-    sizes = several.join(hot, "core", "left_anti").repartition("core").sortWithinPartitions("core")
+    # a few bytes make much work here: with a number of partitions given they are not coalesced by their size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = several.join(hot, "core", "left_anti").repartition(tasks, "core").sortWithinPartitions("core")
     whole = repeated.where(~F.col("mixed")).select("s1", "s2", F.explode(F.array(*[F.lit(x).cast("int") for x in levels])).alias("length"), F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"), "n").where("hi >= length")
     ordered = sizes.mapInArrow(lambda batches: _ordered(batches, levels), FOUND)
 
@@ -360,7 +362,7 @@ def repeated_runs(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), cap: int
                         u = _hash128(own, lo, lo + length)
                         yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(np.full(len(lo), s1)), pa.array(np.full(len(lo), s2)), pa.array(np.full(len(lo), length, np.int32)), pa.array(lo), pa.array(np.full(len(lo), n))], names=["u1", "u2", "s1", "s2", "length", "lo", "n"])
 
-    single = several.join(hot, "core", "left_semi").repartition("core", "s1", "s2").mapInArrow(strings, "u1 long, u2 long, s1 long, s2 long, length int, lo long, n long")
+    single = several.join(hot, "core", "left_semi").repartition(tasks, "core", "s1", "s2").mapInArrow(strings, "u1 long, u2 long, s1 long, s2 long, length int, lo long, n long")
     salt = F.pmod(F.xxhash64("s1", "s2"), F.lit(16)).alias("salt")
     twice = single.groupBy("u1", "u2").agg(F.sum("n").alias("m")).where("m > 1").select("u1", "u2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt"))
     one = single.select("*", salt).join(twice, ["u1", "u2", "salt"]).groupBy("s1", "s2", "length", "lo").agg(F.sum("n").alias("n"))
