@@ -285,6 +285,8 @@ COMMON = 100_000
 SMALL = 8
 #: Shingles that a task holds of the texts it compares.
 HELD = 1 << 22
+#: Copies that a group of equal sets has at least before its rows are told apart from the others for a join.
+LEAST_LARGE = 256
 #: A text's place is its file (the task attempt that wrote it) and the offset there.
 OFFSET_BITS = 36
 HEAD = "<qI"
@@ -611,7 +613,12 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = cut(named.mapInArrow(run, schema), "similar-rows")
     twins = rows.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min("place").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    copies = cut(rows.select("doc_id", "place", "twin").join(twins, "twin").select("doc_id", "least", F.col("place").alias("gone"), "kept"), "similar-copies")
+    twins = cut(twins, "similar-twins")
+    # rows of large groups meet their group's one row where they are: groups of over a thousandth of the rows are a thousand at most
+    crowds = F.broadcast(twins.where(F.col("copies") > max(LEAST_LARGE, rows.count() // 1_000)))
+    own = rows.select("doc_id", "place", "twin")
+    copies = own.join(crowds, "twin").unionByName(own.join(crowds.select("twin"), "twin", "left_anti").join(twins, "twin"))
+    copies = cut(copies.select("doc_id", "least", F.col("place").alias("gone"), "kept"), "similar-copies")
     single = rows.join(copies.where("gone <> kept").select(F.col("gone").alias("place")), "place", "left_anti")
     met = cut(meet(single.select("place", "n", F.posexplode("first").alias("at", "tok")).select("tok", "place", "n", "at"), similarity), "similar-met")
     links = copies.select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
