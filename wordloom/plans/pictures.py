@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordloom.operators import images
+from wordloom.operators import images, ink
 from wordloom.plans.catalogue import _t, query
 
 SIDE = 8
@@ -93,3 +93,38 @@ def image_normalised(spark, sf_dir):
 def image_pieces(spark, sf_dir):
     """Connected pieces of the ink, and the pixels of the largest."""
     return _images(spark, sf_dir).select("vec_id", images.pieces_of("gray").alias("p")).select("vec_id", "p.*")
+
+
+_FIT = _INK + """, a as (select vec_id as k, y, x from d where ink and vec_id % 2 = 0), b as (select vec_id - 1 as k, y, x + 6 as x from d where ink and vec_id % 2 = 1),
+k as (select e.vec_id as k from embeddings e join embeddings f on f.vec_id = e.vec_id + 1 where e.vec_id % 2 = 0),
+f as (select k, y, min(x) as first, max(x) as last from b group by all), g as (select k, y, min(x) as first, max(x) as last from a group by all),
+room as (select k, min(f.first - a.x - 1) as room from a join f using (k, y) where a.x < f.first and a.x >= f.first - 7 group by k),
+hang as (select k, max(g.last - f.first + 1) as overhang from f join g using (k, y) group by k),
+inner_ as (select distinct k, 1 as enclosed from b join (select k, x, min(y) as top, max(y) as bottom from a group by all) using (k, x) where top < b.y and b.y < bottom),
+nest as (select distinct k, 1 as nested from (select a.k from a join (select k, x, max(y) as bottom from b group by all) c on a.k = c.k and a.x = c.x and a.y <= c.bottom union all select f.k from f join g using (k, y) where g.first < f.first and g.last > f.last)),
+far as (select k, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) - 1 as apart from a join b using (k) group by k),
+col as (select k, x, count(*) as n from b group by all), most as (select k, max(n) as n from col group by k), begin_ as (select k, min(x) as x from col join most using (k) where col.n >= 0.35 * most.n group by k),
+body as (select k, count(*) as body from b join begin_ using (k) where b.x >= begin_.x group by k) """
+
+
+@query(f"with {_FIT} select k as vec_id, coalesce(room, 0)::bigint as room, overhang::double as overhang, coalesce(enclosed, 0)::bigint as enclosed, coalesce(nested, 0)::bigint as nested, round(apart, 9) as apart, coalesce(body, 0)::bigint as body from k left join room using (k) left join hang using (k) left join inner_ using (k) left join nest using (k) left join far using (k) left join body using (k)")
+def sign_fit(spark, sf_dir):
+    """Every second image as a sign six columns right of the image before it: room, overhang, hollows, distance, body."""
+    each = _images(spark, sf_dir)
+    sign = each.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("gray").alias("sign"))
+    pairs = each.where("vec_id % 2 = 0").join(sign, "vec_id").select("vec_id", F.concat("gray", "sign").alias("pair"))
+    told = pairs.select("vec_id", ink.fit_of(6, 6)("pair").alias("f")).select("vec_id", "f.*")
+    return told.withColumn("apart", F.round("apart", 9))
+
+
+@query()
+def pen_strokes(spark, sf_dir):
+    """Strokes with their faint parts, their width, and the width once redrawn with a pen of two pixels."""
+    return _images(spark, sf_dir).select("vec_id", ink.pen_of(2.0)("gray").alias("p")).select("vec_id", "p.*")
+
+
+@query()
+def image_distorted(spark, sf_dir):
+    """Mean level of distorted images."""
+    told = _images(spark, sf_dir).select("vec_id", F.flatten(ink.distorted_of("gray", F.col("vec_id"), 7)).alias("p"))
+    return told.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, v: s + v) / F.size("p"), 3).alias("level"))
