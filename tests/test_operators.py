@@ -141,6 +141,12 @@ def test_z_scores_of_constant_group(spark):
     assert sorted((r["k"], r["z"]) for r in vectors.z_scores(df, "k", "v").collect()) == [("a", -1.0), ("a", 1.0), ("b", 0.0), ("b", 0.0)]
 
 
+def test_nearest_in_class_ranks_by_the_rounded_distance(spark):
+    df = spark.createDataFrame([(0, 1, [0.0]), (1, 1, [0.50000004]), (2, 1, [0.5]), (3, 1, None), (4, 1, [None]), (5, 2, [0.0])], "i long, c int, v array<double>")
+    near = vectors.nearest_in_class(df, df.where("i = 0"), "i", "c", "v", 3, digits=6).orderBy("place")
+    assert [(r["i"], r["d"]) for r in near.collect()] == [(1, 0.25), (2, 0.25), (3, None)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("ka\t3\nka\t 2 \nla\tx\n")
     assert [(r["word"], r["n"]) for r in sources.read_counts(spark, str(tmp_path / "c.tsv")).collect()] == [("ka", 5)]
