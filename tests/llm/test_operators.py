@@ -144,6 +144,27 @@ def test_similar_groups_in_large_groups(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()} == dict(enumerate(label))
 
 
+def test_similar_groups_link_by_the_index(spark, monkeypatch):
+    """Without the pairs of prefix filtering the index alone connects near copies, equal fingerprints included."""
+    base = prose(3000).split()
+    texts = [" ".join([*base[:k], "odd", *base[k + 1 :]]) for k in range(50, 2900, 150)] + [prose(3000) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "meet", lambda tokens, similarity: spark.createDataFrame([], simhash.MET))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    assert got == {i: 0 if i < 19 else i for i in range(24)}
+
+
+def test_similar_groups_do_not_trust_fingerprints(spark, monkeypatch):
+    """Fingerprints that are all equal, or all but equal, link nothing that is not similar and hide nothing that is."""
+    bit = iter(range(1 << 20))
+    for code in (lambda h: np.zeros(1, np.uint64), lambda h: np.array([1 << next(bit) % 3], np.uint64)):
+        monkeypatch.setattr(simhash, "majority", code)
+        below = simhash.similar_groups(planted(spark, 300, 49, 49, 20)).collect()
+        assert all(r["doc_id"] == r["component_id"] for r in below) and len(below) == 40
+        above = simhash.similar_groups(planted(spark, 300, 36, 36, 20)).collect()
+        assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in above) and len(above) == 40
+
+
 def test_substring_dedup(docs):
     raw = [(t or "").encode() for t in [*TEXTS, BASE, "null id"]]
     count = {}

@@ -6,7 +6,8 @@ node holds the mask of the bits on which all its members agree and their pattern
 nodes, and a node keeps only the mask bits its parent has not taken out already. A search adds up the differences
 on the way down and prunes a node, with all its members, once they exceed the radius.
 
-Documents whose shingles are similar are found exactly: prefix filtering for candidates, whole sets to decide.
+Documents whose shingles are similar are found exactly: whole sets decide on the links of the index, and prefix
+filtering brings the similar pairs whose fingerprints lie further apart.
 
 Links become components by repeated hooking to the least neighbour and shortcutting, all in Spark.
 """
@@ -208,8 +209,8 @@ def spanning_links(codes: np.ndarray, group: np.ndarray, lead: np.ndarray, radiu
     return index.order[np.array(out, np.int64).reshape(-1, 2)]
 
 
-def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
-    """(x, y): links that connect all 64-bit fingerprints (column fp, distinct) within the radius.
+def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64, name: str = "fp") -> DataFrame:
+    """(x, y): links that connect all 64-bit fingerprints (column fp, distinct) within the radius, by a column of longs that names them.
 
     With radius + 1 blocks of bits, two such fingerprints agree on a block, and meet in its shard. A shard of more
     than SHARD fingerprints is dealt again in the same way by the bits its block leaves: they differ there by at
@@ -222,18 +223,19 @@ def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64) -> DataF
         return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << w) - 1))
 
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), key(F.col("fp"), b * width, width).alias("k")) for b in range(blocks)]))
-    dealt = distinct.select("fp", each.alias("s")).select("fp", "s.b", "s.k")
+    own = list(dict.fromkeys(["fp", name]))
+    dealt = distinct.select(*own, each.alias("s")).select(*own, "s.b", "s.k")
     large = [(r["b"], r["k"]) for r in dealt.groupBy("b", "k").count().where(F.col("count") > SHARD).select("b", "k").collect()]
-    shards = dealt.select("fp", "b", "k", F.lit(0).alias("s"), F.lit(0).cast("long").alias("m"))
+    shards = dealt.select(*own, "b", "k", F.lit(0).alias("s"), F.lit(0).cast("long").alias("m"))
     if large:
         spark = distinct.sparkSession
         keys = F.broadcast(spark.createDataFrame(large, "b int, k long"))
-        small = dealt.join(keys, ["b", "k"], "left_anti").select("fp", "b", "k", F.lit(0).alias("s"), F.lit(0).cast("long").alias("m"))
+        small = dealt.join(keys, ["b", "k"], "left_anti").select(*own, "b", "k", F.lit(0).alias("s"), F.lit(0).cast("long").alias("m"))
         # the block is brought to the top, so the rest lies below it
         turned = F.when(F.col("b") == blocks - 1, F.col("fp")).otherwise(F.expr(" ".join(["case b", *[f"when {b} then shiftleft(fp, {bits - (b + 1) * width}) | shiftrightunsigned(fp, {(b + 1) * width})" for b in range(blocks - 1)], "end"])))
         finer = (bits - width) // blocks
         again = F.explode(F.array(*[F.struct(F.lit(s + 1).alias("s"), key(turned, s * finer, finer).alias("m")) for s in range(blocks)]))
-        split = dealt.join(keys, ["b", "k"], "left_semi").select("fp", "b", "k", again.alias("z")).select("fp", "b", "k", "z.s", "z.m")
+        split = dealt.join(keys, ["b", "k"], "left_semi").select(*own, "b", "k", again.alias("z")).select(*own, "b", "k", "z.s", "z.m")
         shards = small.unionAll(split)
     # whole shards to a task, many shards a task, in order: a shard is met as one run
     spread = shards.repartition("b", "k", "s", "m").sortWithinPartitions("b", "k", "s", "m")
@@ -252,7 +254,8 @@ def blocked_links(distinct: DataFrame, radius: int = 3, bits: int = 64) -> DataF
                 lead[b == v] = rotated(fp[b == v], 64 - v * width)  # the bits below the block first
             x, y = spanning_links(fp[:, None], group, lead, radius).T
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)), pa.array(fp[y].view(np.int64))], names=["x", "y"])
+                names = table.column(name).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y])], names=["x", "y"])
 
         size = 0
         for batch in batches:
@@ -285,7 +288,7 @@ COMMON = 100_000
 SMALL = 8
 #: Shingles that a task holds of the texts it compares.
 HELD = 1 << 22
-#: Copies that a group of equal sets has at least before its rows are told apart from the others for a join.
+#: Rows that a group of equal sets or fingerprints has at least before they are told apart from the others for a join.
 LEAST_LARGE = 256
 #: A text's place is its file (the task attempt that wrote it) and the offset there.
 OFFSET_BITS = 36
@@ -405,28 +408,31 @@ MET = T.StructType([T.StructField("tok", T.LongType()), *(T.StructField(n, T.Lon
 
 
 def meet(tokens: DataFrame, similarity: float) -> DataFrame:
-    """From (tok, place, n, at): pairs x, y of places to be compared, and the rows of large groups (x, tok, n, at; y null).
+    """From (tok, place, n, at, label): pairs x, y of places to be compared, and the rows of large groups (x, tok, n, at; y null).
 
-    Of a large group only the pairs with its first member are listed.
+    Of a large group only the pairs with its first member are listed. What has one label is connected, and left out.
     """
     spread = tokens.repartition("tok").sortWithinPartitions("tok", "n", "place")
 
     def run(batches):
-        for tok, place, n, at in whole_groups(batches, ["tok", "place", "n", "at"], "tok", 100_000):
+        for tok, place, n, at, label in whole_groups(batches, ["tok", "place", "n", "at", "label"], "tok", 100_000):
+            if not len(tok):
+                continue
             first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             size = np.diff(np.append(first, len(tok)))
             group, n64, at64 = np.repeat(np.arange(len(first)), size), n.astype(np.int64), at.astype(np.int64)
             large = (size > SMALL)[group]
+            mixed = (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))[group]
             x, y = [], []
             for d in range(1, SMALL):
                 i = np.flatnonzero((group[d:] == group[:-d]) & ~large[d:])
                 x.append(i)
                 y.append(i + d)
-            i = np.flatnonzero(large)
+            i = np.flatnonzero(large & mixed)
             x.append(first[group[i]])
             y.append(i)
             x, y = np.concatenate(x), np.concatenate(y)
-            near = may_be_similar(n64[x], at64[x], n64[y], at64[y], similarity) & (place[x] != place[y])
+            near = may_be_similar(n64[x], at64[x], n64[y], at64[y], similarity) & (place[x] != place[y]) & (label[x] != label[y])
             a, b = place[x[near]], place[y[near]]
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())], names=MET.names)
@@ -581,26 +587,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(classes.join(named, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def grouped(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """(key, doc_id, place, least, kept) of the rows that share their key with others: their group's least doc_id and place.
+
+    Rows of large groups meet their group's one row where they are: groups of over a thousandth of the rows are a
+    thousand at most. The others are shuffled.
+    """
+    groups = cut(rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.min("place").alias("kept"), F.count("*").alias("size")).where("size > 1"), "similar-groups")
+    crowds = F.broadcast(groups.where(F.col("size") > max(LEAST_LARGE, count // 1_000)))
+    own = rows.select("doc_id", "place", key)
+    return own.join(crowds, key).unionByName(own.join(crowds.select(key), key, "left_anti").join(groups, key)).drop("size")
+
+
+def index_links(rows: DataFrame, folder: str, words: int, similarity: float, radius: int, count: int) -> DataFrame:
+    """(x, y): doc_ids of similar texts of the rows (doc_id, place, fp) that the index of their fingerprints links.
+
+    Rows of one fingerprint are linked to the first of them, and these by the Gray-order index; whole sets decide on
+    every link. What such a link hid, when it falls, is left to prefix filtering.
+    """
+    first = cut(rows.groupBy("fp").agg(F.min("place").alias("place")), "similar-fps")
+    same = grouped(rows, "fp", count).where("place <> kept").select(F.col("kept").alias("x"), F.col("place").alias("y"))
+    return compared(cut(same.unionAll(blocked_links(first, radius, name="place")), "similar-near"), folder, words, similarity)
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(doc_id, component_id): groups of documents that links of a Jaccard similarity of ``similarity`` or more connect.
 
-    The similarity is that of the sets of shingles, and no pair is left out: of two similar sets, ordered alike, the
-    first shingles share one (prefix filtering), and pairs that meet there are compared whole. Texts are written to the
-    shared folder and fetched by place for that. Equal sets are one node, so copies cost nothing. Null and empty
-    texts have no shingles, are equal and form one group. Rows without a doc_id take no part.
+    The similarity is that of the sets of shingles. First the SimHash of each set is looked up in the Gray-order index:
+    fingerprints within the radius link their texts, if the whole sets are similar. Similar texts may have fingerprints
+    further apart, so what these links have not connected is completed and no pair is left out: of two similar sets,
+    ordered alike, the first shingles share one (prefix filtering), and pairs that meet there are compared whole. Texts
+    are written to the shared folder and fetched by place for that. Equal sets are one node, so copies cost nothing.
+    Null and empty texts have no shingles, are equal and form one group. Rows without a doc_id take no part.
     """
     spark = docs.sparkSession
     named = docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(named, words))
     folder = shared_path(spark, "similar-texts")
-    schema = "doc_id long, place long, n int, twin binary, first array<long>"
+    schema = "doc_id long, place long, n int, twin binary, fp long, first array<long>"
 
     def run(batches):
         fs, base = file_system(folder)
         name, pack, at = TaskContext.get().taskAttemptId(), zstandard.ZstdCompressor(level=1), 0
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             for batch in batches:
-                places, sizes, twins, first = [], [], [], []
+                places, sizes, twins, fps, first = [], [], [], [], []
                 for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     h, packed = shingle_set(t, words), pack.compress(t.encode("utf-8", "surrogatepass"))
                     out.write(struct.pack(HEAD, d, len(packed)) + packed)
@@ -608,20 +639,22 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     at += HEAD_BYTES + len(packed)
                     sizes.append(len(h))
                     twins.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    fps.append(majority(h[:, None])[0])
                     first.append(ordered_prefix(h, common.value, similarity).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(sizes, pa.int32()), pa.array(twins, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "place", "n", "twin", "first"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(sizes, pa.int32()), pa.array(twins, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "place", "n", "twin", "fp", "first"])
 
     rows = cut(named.mapInArrow(run, schema), "similar-rows")
-    twins = rows.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min("place").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
-    twins = cut(twins, "similar-twins")
-    # rows of large groups meet their group's one row where they are: groups of over a thousandth of the rows are a thousand at most
-    crowds = F.broadcast(twins.where(F.col("copies") > max(LEAST_LARGE, rows.count() // 1_000)))
-    own = rows.select("doc_id", "place", "twin")
-    copies = own.join(crowds, "twin").unionByName(own.join(crowds.select("twin"), "twin", "left_anti").join(twins, "twin"))
-    copies = cut(copies.select("doc_id", "least", F.col("place").alias("gone"), "kept"), "similar-copies")
+    count = rows.count()
+    copies = grouped(rows, "twin", count).select("doc_id", "least", F.col("place").alias("gone"), "kept")
+    copies = cut(copies, "similar-copies")
     single = rows.join(copies.where("gone <> kept").select(F.col("gone").alias("place")), "place", "left_anti")
-    met = cut(meet(single.select("place", "n", F.posexplode("first").alias("at", "tok")).select("tok", "place", "n", "at"), similarity), "similar-met")
     links = copies.select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
+    links = links.unionAll(index_links(single.select("doc_id", "place", "fp"), folder, words, similarity, radius, count))
+    roots = cut(components(links, "similar-roots"), "similar-roots")
+    labels = rows.select("place", F.col("doc_id").alias("node")).join(roots, "node").select("place", "root")
+    tokens = single.join(labels, "place", "left").select("place", "n", F.coalesce("root", "doc_id").alias("label"), F.posexplode("first").alias("at", "tok"))
+    met = cut(meet(tokens.select("tok", "place", "n", "at", "label"), similarity), "similar-met")
+    links = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
     links = cut(links.unionAll(compared(met.where("y is not null"), folder, words, similarity)), "similar-links")
     roots = components(links, "similar-roots")
     large = met.where("y is null").select("tok", "x", "n", "at")
