@@ -455,7 +455,9 @@ def compared(pairs: DataFrame, folder: str, words: int, similarity: float) -> Da
                     y.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
-    return pairs.select("x", "y").distinct().sortWithinPartitions("x", "y").mapInArrow(run, "x long, y long")
+    # a pair costs far more than its bytes tell: the number of tasks is given, not coalesced by size
+    dealt = pairs.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+    return dealt.distinct().sortWithinPartitions("x", "y").mapInArrow(run, "x long, y long")
 
 
 def group_links(place, n, at, label, texts: Texts, similarity: float, root, join) -> Iterator[tuple[int, int]]:
