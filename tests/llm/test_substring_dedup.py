@@ -1,8 +1,10 @@
 """Repeated strings against brute force: whole columns, hot shared bytes, texts longer than a piece, several lengths."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,34 @@ def test_query_equals_brute_force(spark):
         want[i] = (len(b), len(b) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
     got = {r[0]: tuple(r[1:5]) for r in sd.op10_substring_dedup(spark, folder).collect()}
     assert got == want and sum(w[1] for w in want.values()) > 0
+
+
+def test_shared_bytes_without_a_repeated_string(spark):
+    shared = noise(200)
+    texts = [noise(300) + shared + noise(300), noise(250) + shared + noise(350)]
+    got = sd.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shorter=256).collect()
+    assert [(r["removed"], r["passages"]) for r in got] == [([], [])] * 2
+
+
+def test_order_holds_a_bounded_part_of_the_spans(monkeypatch):
+    n, starts, depth = 24_000, 128, 400
+    letters = np.frombuffer(b"abcdefgh", np.uint8)
+    raw = letters[RNG.integers(0, 8, (n, starts - 1 + depth))]
+    raw[1::2, 100:] = raw[::2, 100:]  # neighbours are equal from place 100 on
+    raw[::2, 99], raw[1::2, 99] = ord("x"), ord("y")
+    names = ["core", "s1", "s2", "trigger", "starts", "bytes", "n"]
+    ids = np.arange(n)
+    columns = [ids // 2, ids, -ids, np.full(n, starts - 1, np.int32), np.full(n, starts, np.int32), [r.tobytes() for r in raw], np.ones(n, np.int64)]
+    batches = pa.table([pa.array(c) for c in columns], names=names).to_batches(500)
+
+    def found():
+        return sorted(tuple(r.values()) for b in sd._ordered(iter(batches), (depth, 256)) for r in b.to_pylist())
+
+    tracemalloc.start()
+    rows = found()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6
+    assert [r[:5] for r in rows if r[2] == depth] == [(i, -i, depth, 100, starts - 1 + depth) for i in range(n)]
+    monkeypatch.setattr(sd, "SORTED", 1 << 30)
+    assert rows == found()

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,12 @@ PIECE = 1 << 20
 BITS_PER_PHRASE, BITMAP_BITS = 12, 1 << 30
 #: Distinct spans of the same shared bytes that are put in order together; beyond, strings are counted one by one.
 CAP = 8_192
-#: Spans that a task holds to tell equal ones apart before the shuffle, and that are put in order at once.
-HELD, SORTED = 100_000, 60_000
+#: Bytes of spans that a task holds to tell equal ones apart before the shuffle, and that are put in order at once.
+HELD, SORTED = 80 << 20, 6 << 20
+#: Bytes that a span takes besides its own.
+ASIDE = 300
+#: Spans that a task hands on at once.
+HANDED = 4_096
 #: A span is hot if it has more than this share of all phrases: so at most its inverse are.
 HOT = 1e-3
 
@@ -247,7 +252,7 @@ def _covered(span: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarr
     span, start = span[order], start[order]
     new = np.append(True, (span[1:] != span[:-1]) | (start[1:] > start[:-1] + length))[: len(span)]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(span)) - 1
+    last = np.append(first[1:], len(span))[: len(first)] - 1
     return span[first], start[first], start[last] + length
 
 
@@ -256,7 +261,7 @@ FOUND = "s1 long, s2 long, length int, lo long, hi long, n long"
 
 
 def _ordered(batches, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """FOUND rows of SPAN rows that come sorted by core: cores are put in order together, as many as SORTED spans hold."""
+    """FOUND rows of SPAN rows that come sorted by core: cores are put in order together, as many as SORTED bytes hold."""
     depth = max(levels)
 
     def put(rows: pa.Table) -> pa.RecordBatch:
@@ -276,21 +281,24 @@ def _ordered(batches, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
         out = np.concatenate(out)
         return pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(np.int32) if k == 2 else out[:, k]) for k in range(6)], names=["s1", "s2", "length", "lo", "hi", "n"])
 
-    held, count = [], 0
+    def weight(batch: pa.RecordBatch) -> int:
+        return batch.column("bytes").nbytes + ASIDE * len(batch)
+
+    held, size = [], 0
     for batch in batches:
         if not len(batch):
             continue
         held.append(batch)
-        count += len(batch)
-        if count >= SORTED:
+        size += weight(batch)
+        if size >= SORTED:
             rows = pa.Table.from_batches(held)
             core = rows.column("core").to_numpy()
             whole = int(np.flatnonzero(core != core[-1])[-1]) + 1 if core[0] != core[-1] else 0
             if whole:
                 yield put(rows.slice(0, whole))
                 held = rows.slice(whole).to_batches()
-                count = len(rows) - whole
-    if count:
+                size = sum(map(weight, held))
+    if held:
         yield put(pa.Table.from_batches(held))
 
 
@@ -317,20 +325,23 @@ def repeated_runs(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), cap: int
     mixed = (F.col("low_s1") != F.col("high_s1")) | (F.col("low_s2") != F.col("high_s2"))
     repeated = counted.groupBy("core").agg(F.count("*").alias("n"), *ends, F.max("size").alias("size")).where("n > 1")
     repeated = cut(repeated.select("core", "n", "size", mixed.alias("mixed"), F.col("low_s1").alias("s1"), F.col("low_s2").alias("s2")), "phrases")
-    maps = spark.sparkContext.broadcast((_bitmap(repeated.select("core")), _bitmap(repeated.where("mixed").select("core"))))
+    # one by one: a worker loads only the bit map that its step reads
+    twice_met, mixed_met = (spark.sparkContext.broadcast(_bitmap(x.select("core"))) for x in (repeated, repeated.where("mixed")))
 
     def spans(batches):
         """Distinct spans of shared bytes met with several, a row for each that a task holds."""
         held: dict[bytes, list] = {}
+        size = 0
 
         def rows():
-            cores, names, places, counts, sizes, texts = zip(*[(c, k, a, n, b, x) for k, (n, c, a, b, x) in held.items()], strict=True)
-            name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(cores, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], names=["core", "s1", "s2", "trigger", "starts", "bytes", "n"])
+            for part in batched(held.items(), HANDED):
+                cores, names, places, counts, sizes, texts = zip(*[(c, k, a, n, b, x) for k, (n, c, a, b, x) in part], strict=True)
+                name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(cores, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], names=["core", "s1", "s2", "trigger", "starts", "bytes", "n"])
 
         for joined, _, _, _, t, lo, hi, end in each(batches):
             core = _core(joined, t, base)
-            m = np.flatnonzero(_among(maps.value[1], core))
+            m = np.flatnonzero(_among(mixed_met.value, core))
             for c, a, x, y, z in zip(core[m].tolist(), t[m].tolist(), lo[m].tolist(), hi[m].tolist(), end[m].tolist(), strict=True):
                 own = joined[x:z]
                 k = xxhash.xxh3_128_digest(own)
@@ -338,11 +349,12 @@ def repeated_runs(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), cap: int
                     held[k][0] += 1
                 else:
                     held[k] = [1, c, a - x, y - x + 1, own]
-            if len(held) >= HELD:
-                yield rows()
+                    size += z - x + ASIDE
+            if size >= HELD:
+                yield from rows()
                 held.clear()
-        if held:
-            yield rows()
+                size = 0
+        yield from rows()
 
     several = cut(docs.mapInArrow(spans, SPAN), "spans")
     hot = several.groupBy("core").agg(F.count("*").alias("spans")).where(F.col("spans") > cap).select("core")
@@ -377,7 +389,7 @@ def repeated_runs(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), cap: int
 
     def occurrences(batches):
         for joined, d, h, begin, t, lo, _, end in each(batches):
-            m = np.flatnonzero(_among(maps.value[0], _core(joined, t, base)))
+            m = np.flatnonzero(_among(twice_met.value, _core(joined, t, base)))
             span = _hash128(joined, lo[m], end[m])
             salt = np.zeros(len(m), np.int32)
             if salts.value:
